@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postforge.llm import language, lines, packing, simhash, substrings, urls, vectors
+from postforge.llm import language, lines, lm, packing, simhash, substrings, urls, vectors
 from postforge.session import table
 
 
@@ -23,6 +23,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
