@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postforge.llm import language, lines, lm, packing, simhash, substrings, urls, vectors
+from postforge.llm import decontam, language, lines, lm, packing, simhash, substrings, urls, vectors
 from postforge.session import table
 
 
@@ -27,6 +27,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -51,12 +57,14 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_decontamination": op6_decontamination,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language": op10_language,
 }
 
+_GAP = decontam.GAP
 _WS = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL = {
@@ -71,6 +79,20 @@ select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_droppe
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
 from m group by doc_id""",
     "op4_url_filter": urls.oracle_sql(),
+    # all windows of all items against all places of all documents
+    "op6_decontamination": rf"""
+with f as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_GAP}'), lambda w: w <> '') w from documents),
+i as (select item_id, list_filter(regexp_split_to_array(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{_GAP}'), lambda w: w <> '') w from benchmark),
+v as (select item_id, w, least(len(w), 10)::bigint z from i where len(w) > 0),
+x as (select distinct item_id, z, array_to_string(w[s:s + z - 1], ' ') t from (select *, unnest(range(1, (len(w) - z + 2)::bigint)) s from v)),
+z as (select distinct z from x),
+p as (select doc_id, z, unnest(range(1, (len(w) - z + 2)::bigint)) s, w from f cross join z where len(w) >= z),
+h as (select p.doc_id, p.s, p.z, x.item_id from (select doc_id, s, z, array_to_string(w[s:s + z - 1], ' ') t from p) p join x on p.t = x.t and p.z = x.z),
+n as (select doc_id, count(distinct u) n_hit from (select doc_id, unnest(range(s, s + z)) u from h) group by doc_id),
+m as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) t from h group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(t, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from f left join n using (doc_id) left join m using (doc_id)""",
     # equal cosine in double precision, components by recursion over links
     "op7_embedding_dedup": """
 with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
