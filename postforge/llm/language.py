@@ -10,20 +10,21 @@ their centroid than nearly all training texts are rejected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postforge.session import cut
+
 DIMS = 8192
 CENTROIDS = 4
 #: Labelled texts per language that the model is fitted on at most, those of the smallest id hashes.
-SAMPLE = 1500
-#: Characters of a labelled text that count in fitting (whole texts are predicted).
-FIT_CHARS = 20_000
+SAMPLE = 800
 #: A text is rejected below this share of its language's 0.1 % quantile of training similarities (of a text as short).
-REJECT = 0.5
+REJECT = 0.3
 FOLDS = 5
 UNDETERMINED = "und"
 
@@ -69,20 +70,6 @@ class LanguageModel:
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floors: list[float]):
         self.idf, self.centroids, self.langs, self.floors = idf, centroids, langs, floors
 
-    @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> LanguageModel:
-        rows = [(t[:FIT_CHARS], lang) for t, lang in rows if any(map(str.isalpha, t[:FIT_CHARS]))]
-        tf = np.stack([counts(t) for t, _ in rows]) if rows else np.zeros((0, DIMS), np.float32)
-        idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-        x, names, cents, owners, floors = vector(tf, idf).astype(np.float32), np.array([r[1] for r in rows]), [], [], []
-        for lang in sorted(set(names.tolist())):
-            own = x[names == lang]
-            c = _centroids(own, CENTROIDS)
-            cents.append(c)
-            owners += [lang] * len(c)
-            floors += [float(np.quantile((own @ c.T).max(axis=1), 0.001)) * REJECT] * len(c)
-        return cls(idf, np.concatenate(cents) if cents else np.zeros((0, DIMS), np.float32), owners, floors)
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """(language, similarity 0 to 1, rejected) of whole texts."""
         langs, scores, rejected = [], [], []
@@ -108,16 +95,36 @@ def is_held_out(id_col: str, fold: int = 0) -> F.Column:
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fit on at most ``sample`` labelled training documents a language."""
-    langs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(is_held_out(id_col), F.lit(False)))
-    per = langs.groupBy(lang_col).agg(F.count("*").alias("n"))
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    # a uniform share of the hash range first, so that little is sorted; then the exact bound
+    """Fit on at most ``sample`` labelled training documents a language, those
+    of the smallest id hashes. Executors count the n-grams of their whole
+    texts; the driver holds one language's counts at a time.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(is_held_out(id_col), F.lit(False)))
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("o"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    per = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # a uniform share of the hash range first, so that few texts are sorted; then the exact bound
     share = F.coalesce(F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n") + 1e-3), F.lit(1.0))
-    some = langs.join(F.broadcast(per), lang_col).where((order.cast("double") / F.lit(2.0**64) + 0.5) <= share)
-    picked = some.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("text"), order.alias("o"), F.col(id_col).cast("string").alias("i"))
-    best = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i"))).where(F.col("r") <= sample)
-    return LanguageModel.fit([(r.text, r.lang) for r in best.orderBy("lang", "o", "i").collect()])
+    some = labelled.join(F.broadcast(per), "lang").where((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) <= share)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i"))).where(F.col("r") <= sample)
+    rows = cut(best.select("lang", "o", "i", "text").mapInArrow(_count_texts, "lang string, o long, i string, tf binary").orderBy("lang", "o", "i"))
+    n, df = 0, np.zeros(DIMS, np.int64)
+    for row in rows.toLocalIterator():
+        n, df = n + 1, df + (np.frombuffer(row.tf, "<f4") > 0)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    cents, owners, floors = [], [], []
+    for lang, own in groupby(rows.toLocalIterator(), key=lambda r: r.lang):
+        x = vector(np.stack([np.frombuffer(r.tf, "<f4") for r in own]), idf).astype(np.float32)
+        c = _centroids(x, CENTROIDS)
+        cents.append(c)
+        owners += [lang] * len(c)
+        floors += [float(np.quantile((x @ c.T).max(axis=1), 0.001)) * REJECT] * len(c)
+    return LanguageModel(idf, np.concatenate(cents) if cents else np.zeros((0, DIMS), np.float32), owners, floors)
+
+
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tf = pa.array([counts(t).astype("<f4").tobytes() for t in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], tf], names=["lang", "o", "i", "tf"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

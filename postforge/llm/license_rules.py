@@ -8,9 +8,6 @@ licence, 1 a tag or weak reference.
 
 from __future__ import annotations
 
-V = r"(?: version| v)?"
-THE = r"(?:the )?"
-
 RULES: tuple[tuple[str, int, str, str], ...] = (
     # MIT and relatives
     ("mit", 3, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -19,8 +16,8 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("mit", 2, "expat", r"(?:the )?expat licen[cs]e"),
     ("mit", 1, "mit", r"licen[cs]e mit"),
     ("mit", 1, "mit", r"spdx license identifier mit"),
-    ("mit", 1, "opensource", r"opensource org licenses mit(?: license)?(?: php)?"),
-    ("mit-0", 2, "mit", r"mit (?:no attribution|0)(?: licen[cs]e)?"),
+    ("mit", 1, "opensource", r"opensource org licenses mit(?: php)?"),
+    ("mit-0", 2, "mit", r"mit (?:no attribution|0) licen[cs]e"),
     ("x11", 2, "x11", r"(?:the )?x11 licen[cs]e"),
     ("x11", 3, "x consortium", r"except as contained in this notice the name of the x consortium shall not be used"),
     ("isc", 3, "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -60,7 +57,7 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("afl-3", 2, "academic free", r"academic free licen[cs]e(?: version| v)?(?: [123] [012])?"),
     ("ecl-2", 2, "educational community", r"educational community licen[cs]e(?: version)?(?: 2 0)?"),
     ("upl-1", 2, "universal permissive", r"universal permissive licen[cs]e(?: v| version)?(?: 1 0)?"),
-    ("mulan-2", 2, "mulan", r"mulan (?:permissive software|psl) (?:licen[cs]e )?(?:version 2|v2)"),
+    ("mulan-2", 2, "mulan", r"mulan (?:permissive software licen[cs]e|psl) (?:version 2|v2)"),
     ("blueoak-1", 2, "blue oak", r"blue oak model licen[cs]e(?: 1 0 0)?"),
     # Apache
     ("apache-2", 3, "apache", r"licensed under the apache license version 2 0"),
@@ -110,13 +107,13 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("autoconf-exception", 2, "autoconf", r"autoconf (?:configure script )?exception"),
     ("lgpl-3", 2, "lesser general public", r"(?:the )?(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3(?: 0)?"),
     ("lgpl-2.1", 2, "lesser general public", r"(?:the )?(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2 1"),
-    ("lgpl-2", 2, "library general public", r"(?:the )?(?:gnu )?library general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:2(?: 0)?)?"),
+    ("lgpl-2", 2, "library general public", r"(?:the )?(?:gnu )?library general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?:(?: version| v)? 2(?: 0)?)?"),
     ("lgpl", 2, "lesser general public", r"(?:the )?(?:gnu )?lesser general public licen[cs]e"),
     ("lgpl-3", 1, "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: or later| only)?"),
     ("lgpl-2.1", 1, "lgpl", r"(?:gnu )?lgpl ?v?2 1(?: or later| only)?"),
     ("lgpl-3", 1, "lgplv3", r"(?:gnu )?lgplv3"),
     ("lgpl", 1, "lgpl", r"(?:gnu )?lgpl(?: licen[cs]ed?)?"),
-    ("agpl-3", 2, "affero", r"(?:the )?(?:gnu )?affero general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?3?(?: 0)?"),
+    ("agpl-3", 2, "affero", r"(?:the )?(?:gnu )?affero general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?:(?: version| v)? 3(?: 0)?)?"),
     ("agpl-1", 2, "affero", r"affero general public licen[cs]e(?: version| v) 1"),
     ("agpl-3", 1, "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?(?: or later| only)?"),
     ("agpl-3", 1, "agplv3", r"(?:gnu )?agplv3"),
@@ -212,8 +209,8 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("ogl-uk-3", 2, "open government", r"open government licen[cs]e(?: v| version)?(?: [123] 0)?"),
     ("etalab-2", 2, "etalab", r"(?:licence ouverte )?etalab(?: open licen[cs]e)?(?: version)?(?: 2 0)?"),
     ("dl-de-by-2", 2, "datenlizenz", r"datenlizenz deutschland namensnennung(?: version)?(?: 2 0)?"),
-    ("openrail", 2, "rail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: m| d)?(?: licen[cs]e)?"),
-    ("elastic-2", 2, "elastic", r"elastic licen[cs]e(?: v| version)?(?: ?2(?: 0)?)?"),
+    ("openrail", 2, "rail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: m| d)? licen[cs]e"),
+    ("elastic-2", 2, "elastic", r"elastic licen[cs]e(?:(?: v| version)? 2(?: 0)?)?"),
     ("busl-1.1", 2, "business source", r"business source licen[cs]e(?: version)?(?: 1 1)?"),
     ("polyform-nc", 2, "polyform", r"polyform noncommercial licen[cs]e(?: 1 0 0)?"),
     ("polyform-sb", 2, "polyform", r"polyform small business licen[cs]e(?: 1 0 0)?"),
@@ -223,7 +220,6 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("public-domain", 3, "public domain", r"(?:released|placed|dedicated|donated|put) (?:into|in|to) the public domain"),
     ("public-domain", 1, "public domain", r"(?:is |are )?in the public domain"),
     ("proprietary", 3, "rights reserved", r"all rights reserved"),
-    ("proprietary", 2, "rights reserved", r"(?:alle rechte vorbehalten|tous droits r serv s)"),
     ("proprietary", 3, "alle rechte", r"alle rechte vorbehalten"),
     ("proprietary", 3, "tous droits", r"tous droits réservés"),
     ("proprietary", 3, "todos los derechos", r"todos los derechos reservados"),
