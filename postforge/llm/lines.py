@@ -227,3 +227,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(drops, "id", "left").select("id", "text", "drops")
     out = rows.mapInArrow(lambda b: _rewrite(b, not digest), f"id {kind}, n_lines long, n_dropped long, kept string")
     return out.withColumnRenamed("id", id_col)
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, every column and row of it, with the kept lines as text (a
+    null text stays null if it has nothing to lose: its one line is empty)."""
+    drops = repeated_lines(docs, id_col, text_col)
+    rest = F.struct(*[F.col(c) for c in docs.columns])
+    key = F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("long"))
+    rows = docs.select(rest.alias("id"), F.col(text_col).cast("binary").alias("text"), key.alias("k")).join(drops.withColumnRenamed("id", "k"), "k", "left").select("id", "text", "drops")
+    out = rows.mapInArrow(lambda b: _rewrite(b, True), f"id {rows.schema['id'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
+    text = F.when(F.col(f"id.{text_col}").isNotNull(), F.col("kept"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"id.`{c}`").alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ codes, so two fingerprints within the radius agree in at least one table:
 candidate search has no false negatives.
 
 Equal fingerprints are collapsed before the search, so exact copies cost one
-row however many there are. A bucket of more than BUCKET distinct fingerprints
+row however many there are. A bucket of more than about BUCKET distinct fingerprints
 is dealt again by the same construction over the bits its table left out; the
 second key fixes so many bits that at most 2 ** (free bits) distinct
 fingerprints can share it, a proven bound. Buckets yield spanning forests,
@@ -30,6 +30,8 @@ from postforge.session import cut
 BITS = 64
 #: Distinct fingerprints that one task compares within one bucket.
 BUCKET = 4096
+#: One fingerprint in so many is counted to tell hot buckets.
+SAMPLE = 16
 #: Rows compared at a time against a whole bucket.
 BLOCK = 512
 SEED = 42
@@ -81,24 +83,39 @@ def masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for i, b in enumerate(bits) if bin((i % codes + 1) & v).count("1") % 2) for v in range(1, codes + 1)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _rows(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["t", "key", "fp"])
 
 
-def _keys(fp: str, radius: int) -> F.Column:
-    """First-level buckets: array of (table, key)."""
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.col(fp).bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(list(range(BITS)), radius))])
+def _first_keys(radius: int):
+    """(fp) to (t, key, fp): the bucket of each table."""
+    table = np.array(masks(list(range(BITS)), radius), np.uint64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for i in range(0, len(fps), 1024):
+                fp = np.repeat(fps[i : i + 1024], len(table))
+                t = np.tile(np.arange(len(table)), len(fp) // len(table))
+                yield _rows(t, fp & table[t], fp)
+
+    return run
 
-def _split_keys(radius: int) -> F.Column:
-    """Second-level buckets of a row (t, fp) by the table it came from."""
+
+def _second_keys(radius: int):
+    """(t, fp) to (t', key, fp): a hot bucket's table dealt again over the bits it left out."""
     first = masks(list(range(BITS)), radius)
-    out = None
-    for t, m in enumerate(first):
-        free = [b for b in range(BITS) if not m >> b & 1]
-        own = F.array(*[F.struct(F.lit((t + 1) * 1000 + s).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m | x))).alias("key")) for s, x in enumerate(masks(free, radius))])
-        out = F.when(F.col("t") == t, own) if out is None else out.when(F.col("t") == t, own)
-    return out
+    table = np.array([[m | x for x in masks([b for b in range(BITS) if not m >> b & 1], radius)] for m in first], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = table.shape[1]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                t, fp = np.repeat(batch.column(0).to_numpy()[i : i + 1024], n), np.repeat(batch.column(1).to_numpy()[i : i + 1024].view(np.uint64), n)
+                s = np.tile(np.arange(n), len(t) // n)
+                yield _rows((t + 1) * 1000 + s, fp & table[t, s], fp)
+
+    return run
 
 
 def links_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +177,14 @@ def _bucket_links(radius: int):
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """``fps``: one long column of distinct fingerprints. (a, b): links whose
     components are those of all pairs within the radius."""
-    keyed = fps.select(F.col(fps.columns[0]).alias("fp")).select("fp", F.explode(_keys("fp", radius)).alias("k")).select("k.t", "k.key", "fp")
-    hot = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("t", "key"))
+    schema = "t int, key long, fp long"
+    fps = fps.select(F.col(fps.columns[0]).cast("long").alias("fp"))
+    keyed = fps.mapInArrow(_first_keys(radius), schema)
+    # hot buckets are told from one fingerprint in SAMPLE: it only decides how a bucket is dealt, not what is found
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(_first_keys(radius), schema)
+    hot = cut(some.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET // SAMPLE).select("t", "key"))
     cold = keyed.join(hot, ["t", "key"], "left_anti")
-    again = keyed.join(hot, ["t", "key"]).select("fp", F.explode(_split_keys(radius)).alias("k")).select("k.t", "k.key", "fp")
+    again = keyed.join(hot, ["t", "key"]).select("t", "fp").mapInArrow(_second_keys(radius), schema)
     rows = cold.unionByName(again).select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
     return rows.mapInArrow(_bucket_links(radius), "a long, b long")
 
@@ -184,8 +205,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
+def _shingle_sets(k: int):
+    """(id, c, text) to (id, c, set): sorted distinct shingle hashes, four bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", k) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "c", "s"])
+
+    return run
+
+
+def _similar(similarity: float):
+    """(id, c, s, first, r) to (id, c, s, far): is the set too far from r?"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for s, r in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(s.as_py(), "<u4"), np.frombuffer(r.as_py(), "<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                far.append(both < similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.bool_())], names=["id", "c", "s", "far"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, kept_id): documents to drop, each with the kept document whose
+    ``words``-word shingles it shares to the given Jaccard similarity or more.
+
+    Candidates are the fingerprint groups of :func:`near_duplicates`; within
+    one, the smallest document stays and takes those similar to it, the
+    smallest of the others takes the next, until none is left. Groups meet
+    their representative in a join that may split; no group is gathered.
+    """
+    groups = near_duplicates(docs, id_col, text_col, k, radius).select(F.col(id_col).alias("id"), F.col("component_id").alias("c")).distinct()
+    large = groups.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    members = cut(groups.join(large, "c"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    left = cut(source.join(members, "id").select("id", "c", "text").mapInArrow(_shingle_sets(words), f"id {dict(members.dtypes)['id']}, c {dict(members.dtypes)['c']}, s binary"))
+    gone = None
+    while True:
+        first = left.groupBy("c").agg(F.min("id").alias("first"), F.min_by("s", "id").alias("r"))
+        rest = left.join(cut(first), "c").where("id <> first")
+        kinds = dict(left.dtypes)
+        judged = cut(rest.select("id", F.struct("c", "first").alias("c"), "s", "r").mapInArrow(_similar(similarity), f"id {kinds['id']}, c struct<c:{kinds['c']},first:{kinds['id']}>, s binary, far boolean"))
+        near = judged.where("not far").select("id", F.col("c.first").alias("kept_id"))
+        gone = near if gone is None else gone.unionByName(near)
+        left = judged.where("far").select("id", "c.c", "s")
+        if left.isEmpty():
+            return gone.withColumnRenamed("id", id_col)
+
+
 def hex_fingerprint(fp: str) -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-__all__ = ["fingerprint_links", "fingerprints", "hex_fingerprint", "masks", "near_duplicates"]
+__all__ = ["fingerprint_links", "fingerprints", "hex_fingerprint", "masks", "near_copies", "near_duplicates"]
