@@ -1 +1 @@
-"""See the package README for an overview."""
+"""Structured Streaming entry points; they share the batch operators."""
