@@ -14,6 +14,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from postforge.dialect import SPARK
 from postforge.functions import fixed as K
@@ -21,7 +22,7 @@ from postforge.functions import rules as R
 from postforge.operators.graph import connected_components
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """STR-07: 100 times the matching-block ratio of two folded titles, lower
     row first (the ratio depends on the order)."""

@@ -15,7 +15,7 @@ from postforge.dialect import DUCK, SPARK
 from postforge.functions import fixed as K
 from postforge.functions import rules as R
 from postforge.operators import classify
-from postforge.session import table
+from postforge.session import stored, table
 
 AS_OF = "TIMESTAMP '2026-09-01 00:00:00'"
 
@@ -115,8 +115,14 @@ def scored(df: DataFrame) -> DataFrame:
     return df
 
 
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised postings, stored once per session."""
+    return stored(spark, f"silver {sf_dir}", lambda: normalized(postings(spark, sf_dir)))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(normalized(postings(spark, sf_dir)))
+    """The scored jobs, stored once per session."""
+    return stored(spark, f"gold {sf_dir}", lambda: scored(silver(spark, sf_dir)))
 
 
 def _chain(layers_: list[dict[str, str]], final: str) -> str:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` written once per session as parquet in the shared folder.
+
+    Layers that many queries read are tables, as they would be in production:
+    readers get pushed filters and pruned columns, and their plans stay small.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
