@@ -249,7 +249,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = spark.sparkContext.broadcast(bytes(bits))
     found = cut(unique.select("id", "text").mapInArrow(_candidates(window, width, shared), "high long, low long, id long, pos int"))
     lowest = cut(found.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("high", "low", "first"))
-    places = found.join(lowest, ["high", "low"])  # a table of its own, so that a common window's rows can be split.where("id > first").groupBy("id").agg(F.collect_list("pos").alias("pos"))
+    # a table of its own is joined, so that a common window's rows can be split
+    places = found.join(lowest, ["high", "low"]).where("id > first").groupBy("id").agg(F.collect_list("pos").alias("pos"))
     return copies, places
 
 
