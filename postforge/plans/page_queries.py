@@ -14,7 +14,7 @@ from postforge.session import table
 # a regular-expression twin of the title for pages without nested markup in it
 catalog.register(
     "q_html_title", lambda s, d: H.page_facts(table(s, d, "pages")).select("page_id", "title", F.size("anchors").cast("long").alias("links")),
-    r"select page_id, coalesce(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') title, len(regexp_extract_all(html, '(?is)<a[ >]')) links from pages",
+    r"select page_id, coalesce(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')), '') title, len(regexp_extract_all(html, '(?is)<a[ >]')) links from pages",
 )
 catalog.register("q_html_text_exact", lambda s, d: H.page_facts(table(s, d, "pages")).select("page_id", F.length("text").cast("long").alias("n"), F.sha1("text").alias("h")))
 catalog.register("q_html_blocks", lambda s, d: H.page_facts(table(s, d, "pages")).select("page_id", H.page_class().alias("kind"), H.page_title().alias("best"), F.size("blocks").cast("long").alias("blocks")))
