@@ -25,6 +25,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
@@ -32,6 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     never costs more than the stage at hand.
     """
     checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
