@@ -34,6 +34,8 @@ BUCKET = 4096
 SAMPLE = 16
 #: Rows compared at a time against a whole bucket.
 BLOCK = 512
+#: Hot buckets that a broadcast may hold; beyond, they are joined by shuffle.
+HOT_ROWS = 200_000
 SEED = 42
 
 
@@ -183,9 +185,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     # hot buckets are told from one fingerprint in SAMPLE: it only decides how a bucket is dealt, not what is found
     some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(_first_keys(radius), schema)
     hot = cut(some.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET // SAMPLE).select("t", "key"))
-    cold = keyed.join(hot, ["t", "key"], "left_anti")
-    again = keyed.join(hot, ["t", "key"]).select("t", "fp").mapInArrow(_second_keys(radius), schema)
-    rows = cold.unionByName(again).select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
+    n_hot = hot.count()
+    if n_hot:
+        met = F.broadcast(hot) if n_hot <= HOT_ROWS else hot
+        again = keyed.join(met, ["t", "key"]).select("t", "fp").mapInArrow(_second_keys(radius), schema)
+        keyed = keyed.join(met, ["t", "key"], "left_anti").select("t", "key", "fp").unionByName(again)
+    rows = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
     return rows.mapInArrow(_bucket_links(radius), "a long, b long")
 
 
@@ -245,15 +250,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut(groups.join(large, "c"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     left = cut(source.join(members, "id").select("id", "c", "text").mapInArrow(_shingle_sets(words), f"id {dict(members.dtypes)['id']}, c {dict(members.dtypes)['c']}, s binary"))
-    gone = None
+    kinds, gone, rounds = dict(left.dtypes), None, 0
     while True:
         first = left.groupBy("c").agg(F.min("id").alias("first"), F.min_by("s", "id").alias("r"))
-        rest = left.join(cut(first), "c").where("id <> first")
-        kinds = dict(left.dtypes)
+        if not rounds:
+            first = cut(first)  # a table of its own in the large round, so that a group's join can be split
+        rest = left.join(first, "c").where("id <> first")
         judged = cut(rest.select("id", F.struct("c", "first").alias("c"), "s", "r").mapInArrow(_similar(similarity), f"id {kinds['id']}, c struct<c:{kinds['c']},first:{kinds['id']}>, s binary, far boolean"))
         near = judged.where("not far").select("id", F.col("c.first").alias("kept_id"))
         gone = near if gone is None else gone.unionByName(near)
-        left = judged.where("far").select("id", "c.c", "s")
+        left, rounds = judged.where("far").select("id", "c.c", "s"), rounds + 1
         if left.isEmpty():
             return gone.withColumnRenamed("id", id_col)
 
