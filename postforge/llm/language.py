@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postforge.session import cut
+from postforge.session import cut, small_batches
 
 DIMS = 8192
 CENTROIDS = 4
 #: Labelled texts per language that the model is fitted on at most, those of the smallest id hashes.
-SAMPLE = 800
+SAMPLE = 400
 #: A text is rejected below this share of its language's 0.1 % quantile of training similarities (of a text as short).
 REJECT = 0.3
 FOLDS = 5
@@ -48,9 +48,11 @@ def counts(text: str) -> np.ndarray:
 
 
 def vector(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf) * idf
+    v = np.log1p(tf)
+    v *= idf
     n = np.linalg.norm(v, axis=-1, keepdims=True)
-    return v / np.where(n == 0, 1, n)
+    v /= np.where(n == 0, 1, n)
+    return v
 
 
 def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -133,12 +135,18 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.idf, model.centroids, model.langs, model.floors))  # DIMS floats a centroid
 
+    small_batches(spark)
+    base = docs if keep else docs.select(id_col)
+    sent = docs.select(*base.columns) if text_col in base.columns and dict(docs.dtypes)[text_col] == "string" else docs.select(*base.columns, F.col(text_col).cast("string").alias("__text"))
+    at = sent.columns.index(text_col if sent.columns == base.columns else "__text")  # a kept text is sent once
+    width = len(base.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for batch in batches:
-            langs, scores, rejected = own.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                langs, scores, rejected = own.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names[:width], "lang_pred", "score", "rejected"])
 
-    base = docs if keep else docs.select(id_col)
     fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    return docs.select(*base.columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return sent.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
