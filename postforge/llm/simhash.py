@@ -29,11 +29,11 @@ from postforge.session import cut
 
 BITS = 64
 #: Distinct fingerprints that one task compares within one bucket.
-BUCKET = 4096
+BUCKET = 16384
 #: One fingerprint in so many is counted to tell hot buckets.
 SAMPLE = 16
 #: Rows compared at a time against a whole bucket.
-BLOCK = 512
+BLOCK = 128
 #: Hot buckets that a broadcast may hold; beyond, they are joined by shuffle.
 HOT_ROWS = 200_000
 SEED = 42
