@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -213,8 +214,8 @@ def _count_decisions(shared):
             seen = True
             buf, first, end = _buffer(texts)
             _, where = _ranges(first, end)
-            for i in range(0, len(where), 1 << 15):
-                at = where[i : i + (1 << 15)]
+            for i in range(0, len(where), CHUNK):
+                at = where[i : i + CHUNK]
                 n, path = codes.decisions(buf, at)
                 marks, bit = codes.marks.take(path), codes.bits.take(path)
                 for table, context in zip(tables, contexts(buf, at), strict=True):
@@ -300,7 +301,7 @@ def log10_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
         for i in range(0, len(where), CHUNK):
             at = where[i : i + CHUNK]
             n, path = codes.decisions(buf, at)
-            bit, marks = codes.bits.take(path), codes.marks.take(path)
+            bit, marks = codes.bits.take(path).astype(f4), codes.marks.take(path)
             x = [codes.odds.take(path)]
             pick = np.repeat(text_of[i : i + CHUNK], n)
             for table, context in zip(model.tables, contexts(buf, at), strict=True):
@@ -319,10 +320,10 @@ def log10_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
             fine = refined.take(slot)
             final = (p + fine) * f4(0.5)
             np.clip(final, f4(1 / 8192), f4(1 - 1 / 8192), out=final)
-            off = bit == 0
-            np.subtract(f4(1), final, out=final, where=off)
-            held = np.add.reduceat(np.log10(final), np.cumsum(n) - n)  # one sum for each place
-            out += np.bincount(text_of[i : i + CHUNK] // gates, weights=held, minlength=count)
+            likely = np.abs(f4(1) - bit - final)  # of what came
+            own = text_of[i : i + CHUNK]
+            new = np.concatenate([[0], np.nonzero(own[1:] != own[:-1])[0] + 1])  # texts lie end to end
+            out[own[new] // gates] += np.add.reduceat(np.log10(likely), (np.cumsum(n) - n)[new], dtype=np.float64)
             miss = bit - p
             for k in range(inputs):
                 grad[k] += np.bincount(pick, weights=miss * x[k], minlength=grad.shape[1])
@@ -370,8 +371,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
     for _, texts in _texts(batches):
+        own: Counter = Counter()  # a small table first: it stays in cache, the large one does not
         for t in texts:
-            held.update(t.split())
+            own.update(t.split())
+        held.update(own)
         if len(held) > CACHE:
             yield out()
             held = Counter()
@@ -380,35 +383,41 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _base(shared):
-    """(id, text) to (id, word or null, n, known, sum): one row with the sums
-    over common words, one for each distinct other word."""
+    """(id, text) to (id, word, n, total): one row with the sums over common
+    words (word null), one for each distinct other word of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, value = (np.frombuffer(x, k) for x, k in zip(shared.value, (np.uint64, np.float64), strict=True))
-
-        class Known(dict):
-            def __missing__(self, word: bytes) -> float:
-                if len(self) > CACHE:
-                    self.clear()
-                h = np.uint64(xxhash.xxh3_64_intdigest(word))
-                i = int(np.searchsorted(common, h))
-                v = float(value[i]) if i < len(common) and common[i] == h else np.nan
-                if len(word) < 64:
-                    self[word] = v
-                return v
-
-        known = Known()
+        known: dict[bytes, float] = {}
         for ids, texts in _texts(batches):
-            rows: list[tuple] = []
-            for i, t in zip(ids, texts, strict=True):
-                words = t.split()
-                v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                other = np.isnan(v)
-                rows.append((i, None, int(len(v) - other.sum()), float(v[~other].sum())))
-                if other.any():
-                    rows += [(i, w, n, 0.0) for w, n in Counter([words[j] for j in np.nonzero(other)[0]]).items()]
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "word", "n", "total"])
+            split = [t.split() for t in texts]
+            if len(known) > CACHE:
+                known = {}
+            every = list(chain.from_iterable(split))
+            local = dict.fromkeys(every)  # a small table first: it stays in cache, the large one does not
+            new = [w for w in local if w not in known]
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+            own = np.where(common[at] == h, value[at], np.nan) if len(common) else np.full(len(h), np.nan)
+            known.update(zip(new, own.tolist(), strict=True))
+            spelled = list(local)
+            found = np.fromiter(map(known.__getitem__, spelled), np.float64, len(spelled))
+            local = dict(zip(spelled, range(len(spelled)), strict=True))
+            sizes = np.array([len(w) for w in split])
+            place = np.fromiter(map(local.__getitem__, every), np.int64, len(every))
+            doc = np.repeat(np.arange(len(ids)), sizes)
+            v = found[place]
+            other = np.isnan(v)
+            n = np.bincount(doc[~other], minlength=len(ids))
+            total = np.bincount(doc[~other], weights=v[~other], minlength=len(ids))
+            pair, times = np.unique(doc[other] << 32 | place[other], return_counts=True)
+            used, where = np.unique(pair & 0xFFFFFFFF, return_inverse=True)
+            words = pa.array([spelled[i] for i in used.tolist()], pa.binary()).take(pa.array(where))
+            keys = pa.array(ids, pa.int64())
+            empty = pa.nulls(len(ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, empty, pa.array(n.astype(np.int64)), pa.array(total)], names=["id", "word", "n", "total"])
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(pair >> 32)), words, pa.array(times.astype(np.int64)), pa.array(np.zeros(len(pair)))], names=["id", "word", "n", "total"])
 
     return run
 
@@ -428,11 +437,14 @@ def unigram(docs: DataFrame, train: DataFrame) -> tuple[DataFrame, int, int]:
     order = np.argsort(np.array(common, np.uint64))
     shared = spark.sparkContext.broadcast((np.array(common, np.uint64)[order].tobytes(), np.array(value, np.float64)[order].tobytes()))
     rows = docs.mapInArrow(_base(shared), "id long, word binary, n long, total double")
-    here = rows.where("word is null").select("id", "n", "total")
-    rest = rows.where("word is not null").join(counts.where(F.col("c") * COMMON <= total), "word", "left")
+    # rows of common words go through the join as well, spread by a key that no word has, so that texts are read once
+    key = F.coalesce(F.col("word"), F.concat(F.lit("\n"), F.col("id").cast("string")).cast("binary")).alias("word")
+    rare = counts.where(F.col("c") * COMMON <= total)
+    met = rows.select("id", key, "n", "total", F.col("word").isNull().alias("common")).join(rare, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = rest.select("id", F.when(c > 0, F.col("n")).otherwise(0).alias("n"), (F.col("n") * F.log10(c + 0.5)).alias("total"))
-    sums = here.unionByName(rest).groupBy("id").agg(F.sum("n").alias("known"), F.sum("total").alias("total"))
+    known = F.when(F.col("common") | (c > 0), F.col("n")).otherwise(0)
+    part = F.when(F.col("common"), F.col("total")).otherwise(F.col("n") * F.log10(c + 0.5))
+    sums = met.groupBy("id").agg(F.sum(known).alias("known"), F.sum(part).alias("total"))
     ends = float(np.log10(texts + 0.5))
     return sums.select("id", (F.col("known") + int(texts > 0)).alias("known"), (F.col("total") + ends).alias("total")), total, distinct
 
