@@ -8,14 +8,14 @@ candidate search has no false negatives.
 
 Equal fingerprints are collapsed before the search, so exact copies cost one
 row however many there are. A bucket of more than about BUCKET distinct fingerprints
-is dealt again by the same construction over the bits its table left out; the
-second key fixes so many bits that at most 2 ** (free bits) distinct
-fingerprints can share it, a proven bound. Buckets yield spanning forests,
-never all pairs.
+is dealt again by the same construction over the bits its table left out; one
+that is still larger is cut into pairs of blocks. Buckets yield spanning
+forests, never all pairs.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,8 @@ BLOCK = 128
 #: Hot buckets that a broadcast may hold; beyond, they are joined by shuffle.
 HOT_ROWS = 200_000
 SEED = 42
+#: Of the order in which codes are dealt to bits (a test asserts the least mask).
+CODE_SEED = 55
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -80,13 +82,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def masks(bits: list[int], radius: int) -> list[int]:
-    """Covering masks over the given bit positions, as unsigned integers."""
-    codes = 2 ** (radius + 1) - 1
-    return [sum(1 << b for i, b in enumerate(bits) if bin((i % codes + 1) & v).count("1") % 2) for v in range(1, codes + 1)]
+    """Covering masks over the given bit positions, as unsigned integers. Codes
+    are dealt in a fixed shuffled order, so that every mask keeps about half of
+    the bits, also where there are more codes than bits."""
+    codes = list(range(1, 2 ** (radius + 1)))
+    random.Random(CODE_SEED).shuffle(codes)
+    return [sum(1 << b for i, b in enumerate(bits) if (codes[i % len(codes)] & v).bit_count() % 2) for v in range(1, len(codes) + 1)]
 
 
 def _rows(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["t", "key", "fp"])
+    return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["t", "key", "fp"])
 
 
 def _first_keys(radius: int):
@@ -141,7 +146,7 @@ def _bucket_links(radius: int):
     """Rows (t, key, fp) sorted by (t, key) to links (a, b) of fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        last = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def solve(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
@@ -176,10 +181,21 @@ def _bucket_links(radius: int):
     return run
 
 
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """(t, key, fp): buckets of more than BUCKET rows cut into pairs of blocks,
+    each a bucket of its own, so that every pair of a bucket meets in one."""
+    big = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("t", "key", F.ceil(F.col("n") / (BUCKET // 2)).alias("blocks"))
+    side = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    met = rows.join(big, ["t", "key"]).select("t", "key", "fp", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cell = F.least("side", "other") * (1 << 20) + F.greatest("side", "other") + 1
+    cells = met.select((F.col("t") + cell * (1 << 20)).alias("t"), "key", "fp")
+    return rows.join(big, ["t", "key"], "left_anti").select("t", "key", "fp").unionByName(cells)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """``fps``: one long column of distinct fingerprints. (a, b): links whose
     components are those of all pairs within the radius."""
-    schema = "t int, key long, fp long"
+    schema = "t long, key long, fp long"
     fps = fps.select(F.col(fps.columns[0]).cast("long").alias("fp"))
     keyed = fps.mapInArrow(_first_keys(radius), schema)
     # hot buckets are told from one fingerprint in SAMPLE: it only decides how a bucket is dealt, not what is found
@@ -189,6 +205,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     if n_hot:
         met = F.broadcast(hot) if n_hot <= HOT_ROWS else hot
         again = keyed.join(met, ["t", "key"]).select("t", "fp").mapInArrow(_second_keys(radius), schema)
+        again = _in_cells(cut(again))
         keyed = keyed.join(met, ["t", "key"], "left_anti").select("t", "key", "fp").unionByName(again)
     rows = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
     return rows.mapInArrow(_bucket_links(radius), "a long, b long")
