@@ -39,3 +39,45 @@ def test_a_large_bucket_is_cut_into_cells_that_hold_every_pair(spark, monkeypatc
     assert all(len(c) < 60 for c in cells.values())
     met = {(a, b) for c in cells.values() for a in c for b in c}
     assert met == {(a, b) for a in range(100) for b in range(100)} and cells[6, 9] == {0, 1, 2}
+
+
+def edited(rng, words, changes):
+    """The words with so many places changed, far enough apart to cost five shingles each."""
+    out = list(words)
+    for i in range(changes):
+        out[10 + i * 12 + rng.randrange(3)] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+def corpus():
+    """Texts in pairs of similarity 0.7 to 0.98, short ones and long ones, and the sets of their shingles."""
+    rng = random.Random(8)
+    texts = []
+    for size in (60, 150, 400):
+        for changes in range(1, size // 12 - 1):
+            for _ in range(12 if size < 400 else 4):
+                words = [f"w{rng.randrange(9000)}" for _ in range(size)]
+                texts += [" ".join(words), " ".join(edited(rng, words, changes))]
+    rng.shuffle(texts)
+    return texts, [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+
+
+def alike(sets, least=0.8):
+    held = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+    pairs = {(a, b) for own in held.values() for a in own for b in own if a < b}
+    return {(a, b): j for a, b in pairs if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= least}
+
+
+def test_every_pair_of_similarity_0_8_shares_a_bucket(spark):
+    texts, sets = corpus()
+    near = alike(sets)
+    assert sum(0.8 <= j < 0.85 for j in near.values()) >= 30 and sum(0.85 <= j < 0.95 for j in near.values()) >= 40
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    signed = {r.id: r for r in simhash.signatures(frame).collect()}
+    assert not [p for p in near if signed[p[0]].c != signed[p[1]].c and not set(signed[p[0]]["keys"]) & set(signed[p[1]]["keys"])]
+    gone = {r.doc_id for r in simhash.near_copies(frame).collect()}
+    assert gone == {b for _, b in near}  # every text has one near copy at most
+    assert (1 - 0.8**simhash.ROWS) ** simhash.BANDS < 1e-4
