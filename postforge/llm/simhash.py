@@ -37,6 +37,8 @@ BUCKET = 16384
 SAMPLE = 16
 #: Rows compared at a time against a whole bucket.
 BLOCK = 128
+#: Shingle sets that one task compares within one bucket.
+CELL = 2048
 #: Hot buckets that a broadcast may hold; beyond, they are joined by shuffle.
 HOT_ROWS = 200_000
 SEED = 42
@@ -276,48 +278,106 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cut(rows.mapInArrow(_signed(words), f"id {dict(rows.dtypes)['id']}, c long, keys array<long>, s binary"))
 
 
-def _similar(similarity: float):
-    """(id, c, s, first, r) to (id, c, s, far): is the set too far from r?"""
+def _confirmed(similarity: float):
+    """(a, b, s, r) to (a, b) where the sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = []
+            near = []
             for s, r in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(s.as_py(), "<u4"), np.frombuffer(r.as_py(), "<u4")
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                far.append(both < similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.bool_())], names=["id", "c", "s", "far"])
+                near.append(both >= similarity * (len(a) + len(b) - both))
+            mask = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
+def set_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join all sets of a similar pair, beside those of one group."""
+    sizes = np.array([len(s) for s in sets])
+    values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    group, left, right = group.copy(), [], []
+    for i, s in enumerate(sets):
+        if (group == group[0]).all():
+            break
+        lo, n = np.searchsorted(values, s), np.searchsorted(values, s, "right")
+        n -= lo
+        hit = rows[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        both = np.bincount(hit, minlength=len(sets))
+        near = both >= similarity * (sizes + sizes[i] - both)
+        for other in np.unique(group[near & (group != group[i])]):
+            left.append(i)
+            right.append(int(np.nonzero(near & (group == other))[0][0]))
+            group[group == other] = group[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _cell_links(similarity: float):
+    """Rows (key, i, j, c, r, s) sorted by (key, i, j) to links (a, b) of classes."""
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        c, r = (np.array([x[k] for x in held], np.int64) for k in (3, 4))
+        a, b = set_links([np.frombuffer(x[5], "<u4") for x in held], r, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def near_copy_links(signed: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of classes that
+    share a bucket and are similar enough.
+
+    Every class is first held against both ends of its buckets. Pairs of a
+    bucket of more than three classes that are not of one component by then
+    are compared whole; a large bucket is cut into pairs of blocks.
+    """
+    sets = cut(signed.join(shared.select("c").distinct(), "c").groupBy("c").agg(F.first("s").alias("s")))
+    ends = F.explode(F.array("lo", "hi")).alias("e")
+    pairs = shared.select("c", ends).where("c <> e").select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("c").alias("a"), "s"), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("r")), "b")
+    links = cut(both.select("a", "b", "s", "r").mapInArrow(_confirmed(similarity), "a long, b long"))
+    at = shared.where("n > 3").join(connected_components(links), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("r"))
+    at = cut(at)
+    mixed = at.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mixed = mixed.select("key", F.when(F.col("n") > CELL, F.ceil(F.col("n") / (CELL // 2))).otherwise(1).alias("blocks"))
+    side = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    dealt = at.join(mixed, "key").select("key", "c", "r", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "c", "r").join(sets, "c").select("key", "i", "j", "c", "r", "s")
+    more = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cell_links(similarity), "a long, b long")
+    return links.unionByName(more)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, kept_id): documents to drop, each with the kept document whose
-    ``words``-word shingles it shares to the given Jaccard similarity or more.
+    """(id, kept_id): documents to drop, each with the smallest document of its
+    group, which stays.
 
-    Candidates share a band of MinHashes of these shingles; within a group of
-    them, the smallest document stays and takes those similar to it, the
-    smallest of the others takes the next, until none is left. Groups meet
-    their representative in a join that may split; no group is gathered.
+    A group is a component of the links between documents whose
+    ``words``-word shingles have the given Jaccard similarity or more.
+    Candidates share a band of MinHashes of these shingles. Texts of the same
+    shingles are one class throughout; no group is gathered.
     """
     signed = signatures(docs, id_col, text_col, words)
-    _, shared = shared_buckets(signed)
-    reach = connected_components(shared.select("c", "lo"))
-    copies = signed.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
-    groups = reach.unionByName(copies.join(reach, F.col("c") == F.col("node"), "left_anti").select(F.col("c").alias("node"), F.col("c").alias("component")))
-    left = cut(signed.join(groups, F.col("c") == F.col("node")).select("id", F.col("component").alias("c"), "s"))
-    kinds, gone, rounds = dict(left.dtypes), None, 0
-    while True:
-        first = left.groupBy("c").agg(F.min("id").alias("first"), F.min_by("s", "id").alias("r"))
-        if not rounds:
-            first = cut(first)  # a table of its own in the large round, so that a group's join can be split
-        rest = left.join(first, "c").where("id <> first")
-        judged = cut(rest.select("id", F.struct("c", "first").alias("c"), "s", "r").mapInArrow(_similar(similarity), f"id {kinds['id']}, c struct<c:{kinds['c']},first:{kinds['id']}>, s binary, far boolean"))
-        near = judged.where("not far").select("id", F.col("c.first").alias("kept_id"))
-        gone = near if gone is None else gone.unionByName(near)
-        left, rounds = judged.where("far").select("id", "c.c", "s"), rounds + 1
-        if left.isEmpty():
-            return gone.withColumnRenamed("id", id_col)
+    classes, shared = shared_buckets(signed)
+    reach = connected_components(near_copy_links(signed, shared, similarity))
+    named = classes.join(reach, F.col("c") == F.col("node"), "left").select("c", "first", F.coalesce("component", "c").alias("g"))
+    lowest = named.groupBy("g").agg(F.min("first").alias("kept_id"))
+    final = named.join(lowest, "g").select("c", "kept_id")
+    return signed.select("id", "c").join(final, "c").where("id <> kept_id").select(F.col("id").alias(id_col), "kept_id").distinct()
 
 
 def hex_fingerprint(fp: str) -> F.Column:

@@ -81,3 +81,35 @@ def test_every_pair_of_similarity_0_8_shares_a_bucket(spark):
     gone = {r.doc_id for r in simhash.near_copies(frame).collect()}
     assert gone == {b for _, b in near}  # every text has one near copy at most
     assert (1 - 0.8**simhash.ROWS) ** simhash.BANDS < 1e-4
+
+
+def test_one_document_of_a_group_stays(spark, monkeypatch):
+    """Chains of edited copies: ends are not similar, all are one group."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(9000)}" for _ in range(150)]
+        for i in range(9):
+            texts.append(" ".join(words))
+            words[10 + 14 * i] = f"x{rng.randrange(10**6)}"
+            words[17 + 14 * i] = f"x{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    texts += [texts[4], texts[7].upper(), "", " ", None]
+    sets = [{" ".join((t or "").lower().split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} for t in texts]
+    near = set(alike(sets, 0.8)) | {(56, 57), (56, 58)}  # of no shingle at all
+    comp = brute_components(len(texts), near)
+    assert any((comp[i], i) not in near for i in range(len(texts)) if comp[i] != i)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: c for i, c in enumerate(comp) if i != c}
+    assert {r.doc_id: r.kept_id for r in simhash.near_copies(frame).collect()} == want
+    monkeypatch.setattr(simhash, "CELL", 4)
+    assert {r.doc_id: r.kept_id for r in simhash.near_copies(frame).collect()} == want
+
+
+def test_set_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    base = [rng.choice(1000, 40, replace=False) for _ in range(8)]
+    sets = [np.unique(np.where(rng.random(40) < 0.08, rng.integers(1000, 2000, 40), base[i % 8])).astype("<u4") for i in range(60)] + [np.zeros(0, "<u4")] * 2
+    near = [(a, b) for a in range(62) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    a, b = simhash.set_links(sets, np.arange(62), 0.8)
+    assert brute_components(62, list(zip(a.tolist(), b.tolist(), strict=True))) == brute_components(62, near)
