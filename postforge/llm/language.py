@@ -4,7 +4,7 @@ Character trigrams of the folded letters of a text are hashed to DIMS
 features; vectors are sublinear TF times IDF, normalised. Each language has a
 few centroids from spherical k-means; a text takes the language of the most
 similar one. Texts with no letter are undetermined, and texts further from
-their centroid than nearly all training texts are rejected.
+their centroid than nearly all training texts of their length are rejected.
 """
 
 from __future__ import annotations
@@ -21,10 +21,15 @@ from postforge.session import cut, small_batches
 
 DIMS = 8192
 CENTROIDS = 4
+#: A centroid of fewer of its language's texts is dropped: wrong labels form such.
+LEAST_SHARE = 0.05
 #: Labelled texts per language that the model is fitted on at most, those of the smallest id hashes.
 SAMPLE = 400
-#: A text is rejected below this share of its language's 0.1 % quantile of training similarities (of a text as short).
-REJECT = 0.3
+#: A text is rejected below this quantile of the similarities that training texts of its language, cut as short, have to
+#: centroids of other training texts.
+QUANTILE = 0.005
+#: Lengths are told apart by powers of two of trigrams, up to 2 ** (BANDS - 1).
+BANDS = 11
 FOLDS = 5
 UNDETERMINED = "und"
 
@@ -65,11 +70,31 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
             if len(own):
                 m = own.sum(axis=0)
                 c[j] = m / (np.linalg.norm(m) or 1)
-    return c
+    share = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)) / len(x)
+    return c[share >= min(LEAST_SHARE, share.max())]
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    """The length band of texts of so many trigrams."""
+    return np.clip(np.log2(np.maximum(n, 1)).astype(int), 0, BANDS - 1)
+
+
+def _floors(x: np.ndarray, leads: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """The least similarity by band: texts are cut to the band's least length
+    and held against centroids of the other half of the texts."""
+    half = np.arange(len(x)) % 2
+    if len(x) < 2:  # nothing to tell by
+        return np.zeros(BANDS)
+    cents = [_centroids(x[half != h], CENTROIDS) for h in (0, 1)]
+    out = np.zeros(BANDS)
+    for band in range(BANDS):
+        sims = [vector(np.stack(tf), idf) @ c.T for h, c in enumerate(cents) if (tf := [np.bincount(t[: 1 << band], minlength=DIMS).astype(np.float32) for t in leads[h::2] if len(t) >= 1 << band])]
+        out[band] = np.quantile(np.concatenate([s.max(axis=1) for s in sims]), QUANTILE) if sims else out[max(band - 1, 0)]
+    return out
 
 
 class LanguageModel:
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floors: list[float]):
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floors: list[np.ndarray]):
         self.idf, self.centroids, self.langs, self.floors = idf, centroids, langs, floors
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
@@ -77,9 +102,10 @@ class LanguageModel:
         langs, scores, rejected = [], [], []
         for i in range(0, len(texts), 64):
             part = texts[i : i + 64]
-            x = vector(np.stack([counts(t or "") for t in part]), self.idf)
-            sims = x @ self.centroids.T
-            for t, s in zip(part, sims, strict=True):
+            tf = np.stack([counts(t or "") for t in part])
+            bands = _band(tf.sum(axis=1))
+            sims = vector(tf, self.idf) @ self.centroids.T
+            for t, s, band in zip(part, sims, bands, strict=True):
                 if t is None or not len(s) or not any(map(str.isalpha, t)):
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
@@ -88,7 +114,7 @@ class LanguageModel:
                     j = int(s.argmax())
                     langs.append(self.langs[j])
                     scores.append(float(min(1.0, max(0.0, s[j]))))
-                    rejected.append(bool(s[j] < self.floors[j]))
+                    rejected.append(bool(s[j] < self.floors[j][band]))
         return langs, scores, rejected
 
 
@@ -108,25 +134,32 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share = F.coalesce(F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n") + 1e-3), F.lit(1.0))
     some = labelled.join(F.broadcast(per), "lang").where((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) <= share)
     best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i"))).where(F.col("r") <= sample)
-    rows = cut(best.select("lang", "o", "i", "text").mapInArrow(_count_texts, "lang string, o long, i string, tf binary").orderBy("lang", "o", "i"))
+    rows = cut(best.select("lang", "o", "i", "text").mapInArrow(_count_texts, "lang string, o long, i string, tf binary, lead binary").orderBy("lang", "o", "i"))
     n, df = 0, np.zeros(DIMS, np.int64)
     for row in rows.toLocalIterator():
         n, df = n + 1, df + (np.frombuffer(row.tf, "<f4") > 0)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    texts = lambda: ((lang, list(own)) for lang, own in groupby(rows.toLocalIterator(), key=lambda r: r.lang))
+    vectors = lambda own: vector(np.stack([np.frombuffer(r.tf, "<f4") for r in own]), idf).astype(np.float32)
     cents, owners, floors = [], [], []
-    for lang, own in groupby(rows.toLocalIterator(), key=lambda r: r.lang):
-        x = vector(np.stack([np.frombuffer(r.tf, "<f4") for r in own]), idf).astype(np.float32)
-        c = _centroids(x, CENTROIDS)
+    for lang, own in texts():
+        c = _centroids(vectors(own), CENTROIDS)
         cents.append(c)
         owners += [lang] * len(c)
-        floors += [float(np.quantile((x @ c.T).max(axis=1), 0.001)) * REJECT] * len(c)
-    return LanguageModel(idf, np.concatenate(cents) if cents else np.zeros((0, DIMS), np.float32), owners, floors)
+    every = np.concatenate(cents) if cents else np.zeros((0, DIMS), np.float32)
+    for lang, own in texts():
+        x = vectors(own)
+        true = np.nonzero(np.array(owners)[(x @ every.T).argmax(axis=1)] == lang)[0]  # of the others the label is likely wrong
+        floors += [_floors(x[true], [np.frombuffer(own[i].lead, "<u2") for i in true], idf)] * owners.count(lang)
+    return LanguageModel(idf, every, owners, floors)
 
 
 def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tf = pa.array([counts(t).astype("<f4").tobytes() for t in batch.column(3).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], tf], names=["lang", "o", "i", "tf"])
+        found = [trigrams(t) for t in batch.column(3).to_pylist()]
+        tf = pa.array([np.bincount(x, minlength=DIMS).astype("<f4").tobytes() for x in found], pa.binary())
+        lead = pa.array([x[: 1 << (BANDS - 1)].astype("<u2").tobytes() for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], tf, lead], names=["lang", "o", "i", "tf", "lead"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
