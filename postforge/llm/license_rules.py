@@ -33,7 +33,8 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("boost", 1, "boost org", r"www boost org license 1 0 txt"),
     ("ncsa", 2, "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
     ("curl", 2, "curl", r"(?:the )?curl licen[cs]e"),
-    ("python-2", 2, "python", r"(?:python software foundation|psf) licen[cs]e(?: agreement)?(?: for python)?(?: version 2)?"),
+    ("python-2", 2, "python software foundation", r"python software foundation licen[cs]e(?: agreement)?(?: for python)?(?: version 2)?"),
+    ("python-2", 2, "psf licen", r"psf licen[cs]e(?: agreement)?(?: for python)?(?: version 2)?"),
     ("cnri-python", 2, "cnri", r"cnri (?:open source )?(?:python )?licen[cs]e(?: agreement)?"),
     ("ruby", 2, "ruby", r"(?:the )?ruby licen[cs]e"),
     ("php-3", 2, "php", r"(?:the )?php licen[cs]e(?: version)?(?: 3 0[01]?)?"),
@@ -46,7 +47,7 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("beerware", 2, "beer", r"(?:the )?beer ?ware licen[cs]e(?: revision 42)?"),
     ("wtfpl", 2, "wtfpl", r"(?:the )?wtfpl(?: version 2| v2)?(?: licen[cs]e)?"),
     ("wtfpl", 2, "what the fuck", r"do what the fuck you want to public licen[cs]e"),
-    ("unlicense", 2, "unlicense", r"(?:the )?unlicen[cs]e"),
+    ("unlicense", 2, "unlicen", r"(?:the )?unlicen[cs]e"),
     ("unlicense", 3, "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("fair", 2, "fair licen", r"(?:the )?fair licen[cs]e"),
     ("json", 3, "good not evil", r"the software shall be used for good not evil"),
@@ -224,7 +225,8 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("proprietary", 3, "tous droits", r"tous droits réservés"),
     ("proprietary", 3, "todos los derechos", r"todos los derechos reservados"),
     ("proprietary", 3, "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", 2, "written permission", r"(?:no part of this .{1,60}? may be reproduced|without (?:the )?(?:prior )?(?:express )?written permission)"),
+    ("proprietary", 2, "no part of this", r"no part of this .{1,60}? may be reproduced"),
+    ("proprietary", 2, "written permission", r"without (?:the )?(?:prior )?(?:express )?written permission"),
     ("proprietary", 2, "unauthorized", r"unauthorized (?:copying|reproduction|distribution)(?: or distribution)?"),
     ("proprietary", 2, "end user", r"end user licen[cs]e agreement"),
     ("proprietary", 1, "eula", r"eula"),
@@ -234,6 +236,6 @@ RULES: tuple[tuple[str, int, str, str], ...] = (
     ("copyright", 1, "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}"),
     ("spdx", 1, "spdx", r"spdx license identifier [0-9a-z]+"),
     ("unknown-reference", 1, "license", r"(?:see|read) (?:the )?license(?: file)?(?: txt| md)? for (?:details|more information|the full text)"),
-    ("unknown-reference", 1, "licen", r"licen[cs]ed under (?:a |the )?(?:following |terms of )"),
+    ("unknown-reference", 1, "licen", r"licen[cs]ed under (?:a |the )?(?:following|terms of)"),
     ("dual", 1, "dual", r"dual licen[cs]ed(?: under)?"),
 )
