@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from postforge.llm import simhash
 from test_operators import brute_components
 
@@ -113,3 +114,11 @@ def test_set_links_join_what_all_pairs_join():
     near = [(a, b) for a in range(62) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
     a, b = simhash.set_links(sets, np.arange(62), 0.8)
     assert brute_components(62, list(zip(a.tolist(), b.tolist(), strict=True))) == brute_components(62, near)
+
+
+def test_the_pipeline_stage_keeps_the_smallest_of_each_group(spark):
+    texts, sets = corpus()
+    comp = brute_components(len(texts), list(alike(sets)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_copy_stage(spark, frame, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(i, t) for i, t in enumerate(texts) if comp[i] == i]
