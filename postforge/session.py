@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,25 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set."""
+    """The session's shared checkpoint folder. A temporary one stands in only
+    where Spark runs in one process; a cluster must name its own."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postforge-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held whole on both sides.
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is held whole on both sides.
 BATCH_ROWS = 1500
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds, unless the session asks for less."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        asked = spark.conf.get(name, None)
+        if asked is None or not asked.isdigit() or not 0 < int(asked) <= most:
+            spark.conf.set(name, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
