@@ -1,7 +1,7 @@
 """Concatenate and cut: token ids of all documents in fixed windows.
 
-Pass one tokenises each document once and keeps its ids (two bytes each) in
-the shared checkpoint folder; pass two turns partition totals, one number per
+Pass one tokenises each document once and keeps its ids (two bytes each, four
+where the vocabulary is larger) in the shared checkpoint folder; pass two turns partition totals, one number per
 partition, into global offsets by a prefix sum. Each task then cuts its own
 documents at multiples of the window without seeing any other. Only the last
 sequence can be short.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,11 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """The ids of the byte-level vocabulary file, by a faster merge of the same
-    ranks (an id is its merge's rank there). Special tokens' strings in a text
-    are ordinary text. Tests hold the ids against the tokenizers library.
+    """The ids that the tokenizers library gives for the byte-level vocabulary
+    file (its added tokens included where their strings stand in a text), by a
+    faster merge of the same ranks: an id is its merge's rank there. Tests hold
+    the ids against the library, whose own speed (1 MB a second and core) would
+    be 2.5 times too slow.
     """
 
     def __init__(self, path: str):
@@ -52,40 +55,56 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        special, byte_of = {t["content"] for t in data.get("added_tokens", ())}, _byte_of()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
-        self.encode = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        added, byte_of = {t["content"]: t["id"] for t in data.get("added_tokens", ())}, _byte_of()
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}
+        self.added, self.own = set(added), tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.kind = "<u2" if max([*ranks.values(), *added.values()]) < 1 << 16 else "<u4"
 
-    def __call__(self, text: str) -> bytes:
-        return self.encode(text, disallowed_special=()).astype("<u2").tobytes()
+    def __call__(self, text: str) -> np.ndarray:
+        return self.own.encode_to_numpy(text, allowed_special=self.added)
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """Built once by a worker, not by each of its tasks."""
+    return Encoder(path)
 
 
 def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = END_ID) -> DataFrame:
-    """(id, ids binary, n): ids of each text with ``end_id`` behind; null is empty."""
+    """(id, ids binary, n, part, before): ids of each text with ``end_id``
+    behind, how many bytes an id takes being len(ids) / n, the partition it was
+    made in and the tokens that came before in that partition. Null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([end_id], "<u2").tobytes()
+        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        kind = encode.kind if end_id < 1 << 16 else "<u4"
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                found = [encode(x.as_py() or "") + end for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 2 for x in found], pa.int64())], names=["id", "ids", "n"])
+            for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                found = [encode(x.as_py() or "").astype(kind).tobytes() + end for x in some.column(1)]
+                n = np.array([len(x) // len(end) for x in found], np.int64)
+                ends = before + np.cumsum(n)
+                before = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)], names=["id", "ids", "n", "part", "before"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, n long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, n long, part int, before long")
 
 
 def _cut(starts: dict[int, int], window: int, keep: bool):
+    """(id, ids, n, part, before) to pieces; a row needs no other row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = starts.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, ids, n, part, before in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 ids = ids.as_py()
-                n, start = len(ids) // 2, 0
+                at, start, kind = starts[part] + before, 0, f"<u{len(ids) // n}"
+                ids = np.frombuffer(ids, kind)
                 while start < n:
                     sequence, offset = divmod(at, window)
                     length = min(window - offset, n - start)
-                    piece = np.frombuffer(ids, "<u2", length, 2 * start).astype("<u4").tobytes()
+                    piece = ids[start : start + length].astype("<u4").tobytes()
                     rows.append((doc, start, length, zlib.crc32(piece), n, sequence, offset) + ((piece,) if keep else ()))
                     start, at = start + length, at + length
             cols = list(zip(*rows, strict=True)) or [[]] * (7 + keep)
@@ -101,14 +120,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     Every id of every row lies in exactly one piece. A null or empty text is
     its end id alone; repeated rows are packed as often as they come; an empty
-    table gives no piece.
+    table gives no piece. Partition and place are columns of the kept ids, so
+    what is done with the result (coalesce, union) leaves offsets alone.
     """
     held = cut(token_ids(docs, id_col, text_col, path or tokenizer_path(), end_id))
     # one total per partition: bounded by the number of partitions, not by rows
-    totals = held.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()
+    totals = held.groupBy("part").agg(F.sum("n").alias("n")).collect()
     starts, at = {}, 0
-    for p, n in sorted((r.p, r.n) for r in totals):
+    for p, n in sorted((r.part, r.n) for r in totals):
         starts[p], at = at, at + n
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
-    return held.select("id", "ids").mapInArrow(_cut(starts, window, keep_ids), schema).withColumnRenamed("id", id_col)
+    return held.mapInArrow(_cut(starts, window, keep_ids), schema).withColumnRenamed("id", id_col)

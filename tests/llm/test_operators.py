@@ -237,9 +237,8 @@ def test_vectors(spark, monkeypatch):
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
-    own = [*texts, "<|endoftext|> text", "日本語 😀  \r\n x", "a" * 5000]
+    own = [*texts, "<|endoftext|> text", "a <|endoftext|> b<|endoftext|>", "日本語 😀  \r\n x", "a" * 5000]
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     rows = packing.pack(frame(spark, own), window=64).collect()
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(own)}
     seen = collections.defaultdict(list)
@@ -259,6 +258,24 @@ def test_packing(spark, texts):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_pieces_stay_in_place_after_coalesce_and_union(spark, texts):
+    docs = frame(spark, texts)
+    cols = ["doc_id", "start", "sequence_id", "offset", "length"]
+    pieces = lambda df: sorted(map(tuple, df.select(*cols).where("doc_id >= 0").collect()))
+    held = packing.pack(docs, window=64, keep_ids=False)
+    want = pieces(held)
+    assert pieces(held.coalesce(1)) == want
+    other = spark.range(50).selectExpr("-1L doc_id", "0L start", "0L sequence_id", "0L offset", "0L length").repartition(5)
+    assert pieces(other.unionByName(held.select(*cols))) == want
+    fill = sorted((s * 64 + o, n) for _, _, s, o, n in want)
+    assert all(a + n == b for (a, n), (b, _) in zip(fill, fill[1:], strict=False))
+
+
+def test_ids_beyond_two_bytes(spark):
+    r = packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), end_id=70_000).first()
+    assert np.frombuffer(r["ids"], "<u4").tolist()[-1] == 70_000
+
+
 def test_passages(spark, texts):
     words = [(t or "").encode().split() for t in texts]
     low = {}
