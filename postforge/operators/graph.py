@@ -1,8 +1,11 @@
 """Connected components over an edge table, distributed end to end.
 
-Alternating large-star / small-star contraction. Minima are partial
-aggregates and the fan-out is a plain equi-join, so AQE can split a hub that
-holds a large share of all edges; no neighbour list is ever gathered.
+Partitions thin their own edges to spanning forests first. Once few enough
+edges are left (a counted bound), one task finishes them; until then the graph
+is contracted by alternating large-star / small-star steps. Minima are partial
+aggregates kept as tables of their own, and the fan-out is an equi-join of two
+plain shuffles, so AQE can split a hub that holds a large share of all edges;
+no neighbour list is ever gathered.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from postforge.session import cut
 
 #: Edges a task holds at a time while it thins its own partition.
 LOCAL_EDGES = 500_000
+#: Edges that one task may finish: at most LOCAL_EDGES.
+FINISH_EDGES = 400_000
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +82,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b")).where("a <> b")
     e = cut(e.mapInArrow(_thin, "a long, b long"))
     for _ in range(rounds):
+        if e.count() <= FINISH_EDGES:
+            e = cut(e.coalesce(1).mapInArrow(_thin, "a long, b long"))
+            break
         if _are_stars(e):
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        low = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large.mapInArrow(_thin, "a long, b long"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).mapInArrow(_thin, "a long, b long").distinct())
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -97,7 +97,9 @@ def test_classifier_against_a_scalar_version(spark):
     assert got == {i: scalar(*r) for i, r in enumerate(rows)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [0, 400_000])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH_EDGES", finish)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(300) if i % 50] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(300)] + [(5, 5)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
