@@ -1,14 +1,18 @@
 """Line dedup: documents probe a sharded minimal perfect hash, lines are not joined.
 
 1. Each line key becomes a 128-bit hash. Distinct hashes are counted with
-   map-side combining: smallest and largest document, occurrences.
-2. Hashes are dealt to shards of bounded size. A shard's keys are placed by a
-   multi-level bit-array perfect hash; rank in the bit arrays is the slot.
-   Slots index a fingerprint array, a saturating count array and, for repeated
-   keys only, an owner array (the smallest document).
-3. Documents send only (hash, id) probes to the shard that answers them. Keys
-   holding over 1/HEAVY of all lines (fewer than HEAVY of them, whatever the
-   input) are answered in place from a broadcast, so that no shard is hot.
+   map-side combining: smallest document and number of documents.
+2. Hashes are dealt to shards by their leading bits. A shard's keys are placed
+   by a multi-level bit-array perfect hash; rank in the bit arrays is the slot.
+   Slots index an array of 32-bit fingerprints, an array of counts (saturating
+   at 255) and, for repeated keys only, an array of owners (the smallest
+   document). A shard is kept as one row of packed arrays, some six bytes a key.
+3. While all shards together stay below ARRAY_BYTES, which is measured, they
+   are broadcast, and documents probe them as they are rewritten, in one pass
+   that shuffles no text. Beyond, documents send (hash, id) probes to the task
+   that holds the shard, and hot keys (more than 1/HEAVY of all lines, so fewer
+   than HEAVY of them, whatever the input) are answered from a broadcast, so
+   that no shard is hot; texts then meet what they lose by id.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from postforge.session import cut, shuffle_partitions
 MIN_POINTS = 10
 #: A key with more than 1/HEAVY of all lines is answered from a broadcast.
 HEAVY = 2000
-#: Probes and keys that a shard is sized for.
-SHARD_ROWS = 250_000
+#: Keys that a shard is sized for.
+SHARD_KEYS = 250_000
+#: Packed arrays of all shards that a broadcast may hold; beyond, probes go to the shards.
+ARRAY_BYTES = 64 << 20
 #: Bits per key of each level of the perfect hash.
 GAMMA = 2.0
 
@@ -48,12 +54,13 @@ def key_hash(key: bytes) -> bytes:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys, as bit arrays by level."""
+    """Minimal perfect hash of distinct 64-bit keys: bit arrays by level, each
+    with the number of bits set before every 64-bit word."""
 
-    def __init__(self, levels: list[np.ndarray], rest: np.ndarray):
-        self.levels, self.rest = levels, rest
-        self.base = np.cumsum([0, *(int(x.sum()) for x in levels)])
-        self.ranks = [np.concatenate([[0], np.cumsum(x)]) for x in levels]
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, rest: np.ndarray):
+        self.sizes, self.words, self.rest = sizes, words, rest
+        self.first = np.cumsum([0, *((sizes + 63) // 64)])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.uint32)]).astype(np.uint32)
 
     @staticmethod
     def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -64,178 +71,285 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray, depth: int = 40) -> PerfectHash:
-        levels = []
+        sizes, words = [], []
         for level in range(depth):
             if not len(keys):
                 break
             size = max(64, int(GAMMA * len(keys)))
             at = cls._at(keys, level, size)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
+            alone = np.bincount(at, minlength=-(-size // 64) * 64) == 1
+            sizes.append(size)
+            words.append(np.packbits(alone, bitorder="little").view("<u8"))
             keys = keys[~alone[at]]
-        return cls(levels, np.sort(keys))
+        return cls(np.array(sizes, np.int64), np.concatenate(words) if words else np.zeros(0, "<u8"), np.sort(keys))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key of the set; any slot or -1 for others."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for level, bits in enumerate(self.levels):
-            at = self._at(keys[left], level, len(bits))
-            hit = bits[at]
-            out[left[hit]] = self.base[level] + self.ranks[level][at[hit]]
+        for level, size in enumerate(self.sizes):
+            at = self._at(keys[left], level, int(size))
+            word, bit = (at >> 6) + self.first[level], (at & 63).astype(np.uint64)
+            own = self.words[word]
+            hit = (own >> bit) & np.uint64(1) > 0
+            below = np.bitwise_count(own[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            out[left[hit]] = self.before[word[hit]] + below
             left = left[~hit]
             if not len(left):
                 return out
         if len(self.rest):
             at = np.minimum(np.searchsorted(self.rest, keys[left]), len(self.rest) - 1)
             hit = self.rest[at] == keys[left]
-            out[left[hit]] = self.base[-1] + at[hit]
+            out[left[hit]] = int(self.before[-1]) + at[hit]
         return out
 
     def __len__(self) -> int:
-        return int(self.base[-1]) + len(self.rest)
+        return int(self.before[-1]) + len(self.rest)
 
 
 class Shard:
     """Fingerprint, count and owner arrays behind a perfect hash."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, first: np.ndarray, count: np.ndarray):
-        self.mph = PerfectHash.build(high)
-        at = self.mph.slots(high)
-        self.fingerprint = np.zeros(len(self.mph), np.uint64)
-        self.fingerprint[at] = low
-        self.count = np.zeros(len(self.mph), np.uint8)
-        self.count[at] = np.minimum(count, 255)
-        repeated = self.count >= 2
-        self.rank = np.cumsum(repeated) - repeated
-        owner = np.zeros(len(self.mph), np.int64)
-        owner[at] = first
-        self.owner = owner[repeated]
+    def __init__(self, mph: PerfectHash, fingerprint: np.ndarray, count: np.ndarray, owner: np.ndarray):
+        self.mph, self.fingerprint, self.count, self.owner = mph, fingerprint, count, owner
+        # repeated keys before every 64th slot; those in between are counted when asked
+        repeated = np.zeros(-(-len(count) // 64) * 64, bool)
+        repeated[: len(count)] = count >= 2
+        self.repeated = np.packbits(repeated, bitorder="little").view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.repeated), dtype=np.uint32)]).astype(np.uint32)
+
+    @classmethod
+    def build(cls, high: np.ndarray, low: np.ndarray, first: np.ndarray, count: np.ndarray) -> Shard:
+        mph = PerfectHash.build(high)
+        at = mph.slots(high)
+        fingerprint, counts, owner = np.zeros(len(mph), "<u4"), np.zeros(len(mph), np.uint8), np.zeros(len(mph), "<i8")
+        fingerprint[at], counts[at], owner[at] = low.astype("<u4"), np.minimum(count, 255), first
+        return cls(mph, fingerprint, counts, owner[counts >= 2])
+
+    def pack(self) -> bytes:
+        parts = [self.mph.sizes, self.mph.words, self.mph.rest, self.fingerprint, self.count, self.owner]
+        return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(p.tobytes() for p in parts)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Shard:
+        sizes, at, parts = np.frombuffer(data, "<i8", 6), 48, []
+        for n, kind in zip(sizes.tolist(), ("<i8", "<u8", "<u8", "<u4", "<u1", "<i8"), strict=True):
+            parts.append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        return cls(PerfectHash(*parts[:3]), *parts[3:])
 
     def owners(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is a key of at least two documents, its smallest document)."""
         at = self.mph.slots(high)
-        known = at >= 0
-        safe = np.where(known, at, 0)
-        known &= (self.fingerprint[safe] == low) & (self.count[safe] >= 2) if len(self.count) else known
-        found = np.zeros(len(high), np.int64)
-        found[known] = self.owner[self.rank[at[known]]]
+        known, found = at >= 0, np.zeros(len(high), np.int64)
+        at = np.where(known, at, 0)
+        if len(self.count):
+            known &= (self.fingerprint[at] == low.astype("<u4")) & (self.count[at] >= 2)
+        at = at[known]
+        rank = self.before[at >> 6] + np.bitwise_count(self.repeated[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        found[known] = self.owner[rank]
         return known, found
 
 
+def shard_of(high: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of unsigned hashes: their leading bits."""
+    return (high >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(high), np.int64)
+
+
+def _shard_column(bits: int) -> F.Column:
+    return F.shiftrightunsigned("high", 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def _hashed(texts: list[bytes], points: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of each text, text and line number, high and low hash of every long key)."""
+    every, text_at, line_at, digests = [], [], [], []
+    for i, text in enumerate(texts):
+        found = text.split(b"\n")
+        every.append(found)
+        for j, line in enumerate(found):
+            if len(line) >= points and is_long(key := line_key(line), points):
+                text_at.append(i)
+                line_at.append(j)
+                digests.append(key_hash(key))
+    two = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    return every, np.array(text_at, np.int64), np.array(line_at, np.int64), np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1])
+
+
 def _line_rows(points: int):
-    """(id, text) to distinct (high, low, id, n) of each document's long keys."""
+    """(id, text) to distinct (high, low, id) of each document's long keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, counts = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own: dict[bytes, int] = {}
-                for line in (text.as_py() or b"").split(b"\n"):
-                    key = line_key(line)
-                    if is_long(key, points):
-                        h = key_hash(key)
-                        own[h] = own.get(h, 0) + 1
-                ids += [i] * len(own)
-                hashes += own
-                counts += own.values()
-            two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["high", "low", "id", "n"])
+            _, doc, _, high, low = _hashed([t.as_py() or b"" for t in batch.column(1)], points)
+            order = np.lexsort((low, high, doc))
+            doc, high, low = doc[order], high[order], low[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(high[new].view(np.int64)), pa.array(low[new].view(np.int64)), batch.column(0).take(pa.array(doc[new]))], names=["high", "low", "id"])
 
     return run
 
 
-def _probe(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, kind): a shard's keys (kind 0), then its probes."""
-    keys: list[pa.RecordBatch] = []
-    shard, built = None, None
-    for batch in tables:
+def line_keys(source: DataFrame, points: int = MIN_POINTS) -> DataFrame:
+    """``source`` (id long, text binary) to one row for each distinct key:
+    (high, low, first document, n: 1, or 2 and more for several documents)."""
+    keys = source.mapInArrow(_line_rows(points), "high long, low long, id long").groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    return cut(keys.select("high", "low", "first", F.when(F.col("first") == F.col("last"), 1).otherwise(F.greatest(F.col("n"), F.lit(2))).cast("long").alias("n"), F.col("n").alias("rows")))
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys sorted by shard (shard, high, low, first, n) to (shard, packed arrays)."""
+
+    def done(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        high, low, first, n = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 5))
+        data = Shard.build(high.view(np.uint64), low.view(np.uint64), first, n).pack()
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], names=["shard", "arrays"])
+
+    now, held = None, []
+    for batch in batches:
+        s = batch.column(0).to_numpy()
+        edges = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1, [len(s)]]) if len(s) else np.zeros(1, int)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if held and s[a] != now:
+                yield done(now, held)
+                held = []
+            now = int(s[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield done(now, held)
+
+
+def line_shards(keys: DataFrame, distinct: int) -> tuple[DataFrame, int]:
+    """((shard, arrays binary) of the keys, number of leading hash bits that name a shard)."""
+    bits = max(0, math.ceil(math.log2(max(distinct, 1) / SHARD_KEYS)))
+    rows = keys.select(_shard_column(bits).alias("shard"), "high", "low", "first", "n")
+    parts = min(1 << bits, 16 * shuffle_partitions(keys.sparkSession))
+    return cut(rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_build, "shard int, arrays binary")), bits
+
+
+# --- probes beyond the broadcast ------------------------------------------------
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, arrays, high, low, id) sorted by shard, the arrays ahead of
+    the probes, to the (id, high, low) to drop."""
+    now, own = None, None
+    for batch in batches:
         s = batch.column(0).to_numpy()
-        edges = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1, [len(s)]]) if len(s) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        edges = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1, [len(s)]]) if len(s) else np.zeros(1, int)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             part = batch.slice(a, b - a)
-            if s[a] != shard:
-                shard, keys, built = s[a], [], None
-            is_probe = part.column(1).to_numpy()
-            first = int(np.searchsorted(is_probe, 1))
-            if first:
-                keys.append(part.slice(0, first))
-            if first < len(is_probe):
-                if built is None:
-                    whole = pa.Table.from_batches(keys) if keys else None
-                    col = (lambda i: whole.column(i).to_numpy() if whole is not None else np.zeros(0, np.int64))  # noqa: B023
-                    built, keys = Shard(col(2).view(np.uint64), col(3).view(np.uint64), col(4), col(5)), []
-                ask = part.slice(first)
-                high, low, ids = (ask.column(i).to_numpy() for i in (2, 3, 4))
-                known, owner = built.owners(high.view(np.uint64), low.view(np.uint64))
-                drop = known & (owner != ids)
-                if drop.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[drop]), pa.array(high[drop]), pa.array(low[drop])], names=["id", "high", "low"])
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", points: int = MIN_POINTS) -> DataFrame:
-    """(id, drops array<binary>): for each document that loses lines, the
-    hashes of the keys it loses. Rows without an id take no part."""
-    spark = docs.sparkSession
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    lines = cut(source.mapInArrow(_line_rows(points), "high long, low long, id long, n long"))
-    keys = cut(lines.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")))
-    totals = keys.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = totals[0] or 0, totals[1]
-    heavy = keys.where((F.col("n") * HEAVY > total) & (F.col("n") >= HEAVY)).select("high", "low", "first", "last")
-    shards = max(math.ceil((total + distinct) / SHARD_ROWS), 4 * shuffle_partitions(spark))
-    shard = F.pmod(F.xxhash64("high"), F.lit(shards)).cast("int").alias("shard")
+            if s[a] != now:
+                now, own = s[a], Shard.unpack(part.column(1)[0].as_py())
+                part = part.slice(1)
+            high, low, ids = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
+            known, owner = own.owners(high.view(np.uint64), low.view(np.uint64))
+            drop = known & (owner != ids)
+            if drop.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[drop]) for x in (ids, high, low)], names=["id", "high", "low"])
+
+
+def routed_drops(source: DataFrame, keys: DataFrame, shards: DataFrame, bits: int, points: int) -> DataFrame:
+    """(id, drops array<struct<high, low>>): probes go to the shards."""
+    total = keys.agg(F.sum("rows")).first()[0] or 0
+    heavy = cut(keys.where((F.col("rows") * HEAVY > total) & (F.col("rows") >= HEAVY)).select("high", "low", "first", "n"))
+    lines = source.mapInArrow(_line_rows(points), "high long, low long, id long")
     marked = lines.join(F.broadcast(heavy), ["high", "low"], "left")  # fewer than HEAVY rows, whatever the input
-    here = marked.where("first is not null and first <> last and first <> id").select("id", "high", "low")
-    asks = marked.where("first is null").select(shard, F.lit(1).alias("kind"), "high", "low", F.col("id").alias("x"), F.lit(0).cast("long").alias("n"))
-    held = keys.select(shard, F.lit(0).alias("kind"), "high", "low", F.col("first").alias("x"), F.when(F.col("first") == F.col("last"), 1).otherwise(2).cast("long").alias("n"))
-    rows = held.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "kind")
+    here = marked.where("n >= 2 and first <> id").select("id", "high", "low")
+    none = F.lit(None)
+    asks = marked.where("n is null").select(_shard_column(bits).alias("shard"), none.cast("binary").alias("arrays"), "high", "low", "id")
+    held = shards.select("shard", "arrays", *[none.cast("long").alias(c) for c in ("high", "low", "id")])
+    rows = held.unionByName(asks).repartition("shard").sortWithinPartitions("shard", F.col("arrays").isNull())
     drops = rows.mapInArrow(_probe, "id long, high long, low long").unionByName(here)
-    joined = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("high", "low")])
-    return drops.groupBy("id").agg(F.collect_set(joined).alias("drops"))
+    return drops.groupBy("id").agg(F.collect_set(F.struct("high", "low")).alias("drops"))
 
 
-def _native(drop: bytes) -> bytes:
-    """The digest behind two big-endian longs that were read little-endian."""
-    return drop[7::-1] + drop[:7:-1]
+# --- rewriting ------------------------------------------------------------------
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines, dropped, out = [], [], []
-        for text, drops in zip(batch.column(1), batch.column(2), strict=True):
-            found = (text.as_py() or b"").split(b"\n")
-            gone = {_native(x) for x in drops.as_py() or ()}
-            kept = [x for x in found if not gone or not is_long(k := line_key(x)) or key_hash(k) not in gone]
-            lines.append(len(found))
-            dropped.append(len(found) - len(kept))
-            text = b"\n".join(kept)
-            out.append(text if whole else hashlib.sha256(text).hexdigest())
-        last = pa.array([x.decode() for x in out] if whole else out, pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), last], names=["id", "n_lines", "n_dropped", "kept"])
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def _rewritten(every: list[list[bytes]], gone: dict[int, set[int]], whole: bool) -> list[pa.Array]:
+    lines = [len(x) for x in every]
+    kept = [[x for j, x in enumerate(found) if j not in gone[i]] if i in gone else found for i, found in enumerate(every)]
+    out = [b"\n".join(x) for x in kept]
+    last = pa.array(out, pa.binary()).cast(pa.string()) if whole else pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
+    return [pa.array(lines, pa.int64()), pa.array([n - len(x) for n, x in zip(lines, kept, strict=True)], pa.int64()), last]
+
+
+_NAMES = ["id", "n_lines", "n_dropped", "kept"]
+
+
+def _rewrite_probing(shared, bits: int, points: int, whole: bool):
+    """(row, text, key) to (row, n_lines, n_dropped, kept), probing the broadcast shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = {s: Shard.unpack(data) for s, data in shared.value}
+        for batch in batches:
+            every, doc, line, high, low = _hashed([t.as_py() or b"" for t in batch.column(1)], points)
+            own = batch.column(2)
+            ids, named = own.fill_null(0).to_numpy(zero_copy_only=False)[doc], own.is_valid().to_numpy(zero_copy_only=False)[doc]
+            gone: dict[int, set[int]] = {}
+            shard = shard_of(high, bits)
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.nonzero(np.diff(shard[order]))[0] + 1):
+                if len(at) and (held := shards.get(int(shard[at[0]]))):
+                    known, owner = held.owners(high[at], low[at])
+                    drop = at[known & named[at] & (owner != ids[at])]
+                    for i, j in zip(doc[drop].tolist(), line[drop].tolist(), strict=True):
+                        gone.setdefault(i, set()).add(j)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_rewritten(every, gone, whole)], names=_NAMES)
+
+    return run
+
+
+def _rewrite_joined(points: int, whole: bool):
+    """(row, text, drops) to (row, n_lines, n_dropped, kept)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drops = [{(d["high"], d["low"]) for d in x or ()} for x in batch.column(2).to_pylist()]
+            every, doc, line, high, low = _hashed([t.as_py() or b"" for t in batch.column(1)], points)
+            gone: dict[int, set[int]] = {}
+            for i, j, *key in zip(doc.tolist(), line.tolist(), high.view(np.int64).tolist(), low.view(np.int64).tolist(), strict=True):
+                if drops[i] and tuple(key) in drops[i]:
+                    gone.setdefault(i, set()).add(j)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_rewritten(every, gone, whole)], names=_NAMES)
+
+    return run
+
+
+def _rewrite(docs: DataFrame, row: F.Column, id_col: str, text_col: str, points: int, whole: bool) -> DataFrame:
+    """(id: ``row``, n_lines, n_dropped, kept) of every row."""
+    text, key = F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long")
+    source = docs.where(F.col(id_col).isNotNull()).select(key.alias("id"), text)
+    keys = line_keys(source, points)
+    distinct = keys.count()
+    shards, bits = line_shards(keys, distinct)
+    rows = docs.select(row.alias("id"), text, key.alias("k"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
+    if (shards.agg(F.sum(F.length("arrays"))).first()[0] or 0) <= ARRAY_BYTES:
+        held = [(r.shard, bytes(r.arrays)) for r in shards.toLocalIterator()]  # ARRAY_BYTES at most
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        return rows.mapInArrow(_rewrite_probing(shared, bits, points, whole), schema)
+    drops = routed_drops(source, keys, shards, bits, points).withColumnRenamed("id", "k")
+    return rows.join(drops, "k", "left").select("id", "text", "drops").mapInArrow(_rewrite_joined(points, whole), schema)
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, points: int = MIN_POINTS) -> DataFrame:
     """(id, n_lines, n_dropped, kept): each row's text without the lines whose
     key a smaller document holds. ``digest``: its SHA-256 instead of the text.
 
-    Null or empty text is one empty line. A null id keeps all its lines.
-    Rows that repeat an id are one document. Short keys are never dropped.
+    Ids are integers. Null or empty text is one empty line. A null id keeps all
+    its lines. Rows that repeat an id are one document. Keys of fewer than
+    ``points`` code points are never dropped.
     """
-    drops = repeated_lines(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(drops, "id", "left").select("id", "text", "drops")
-    out = rows.mapInArrow(lambda b: _rewrite(b, not digest), f"id {kind}, n_lines long, n_dropped long, kept string")
-    return out.withColumnRenamed("id", id_col)
+    return _rewrite(docs, F.col(id_col), id_col, text_col, points, not digest).withColumnRenamed("id", id_col)
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, every column and row of it, with the kept lines as text (a
     null text stays null if it has nothing to lose: its one line is empty)."""
-    drops = repeated_lines(docs, id_col, text_col)
-    rest = F.struct(*[F.col(c) for c in docs.columns])
-    key = F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("long"))
-    rows = docs.select(rest.alias("id"), F.col(text_col).cast("binary").alias("text"), key.alias("k")).join(drops.withColumnRenamed("id", "k"), "k", "left").select("id", "text", "drops")
-    out = rows.mapInArrow(lambda b: _rewrite(b, True), f"id {rows.schema['id'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
-    text = F.when(F.col(f"id.{text_col}").isNotNull(), F.col("kept"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"id.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.col(text_col).isNotNull().alias("held"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    out = _rewrite(docs, row, id_col, text_col, MIN_POINTS, True)
+    text = F.when(F.col("id.held"), F.col("kept"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"id.c{others.index(c)}").alias(c) for c in docs.columns])

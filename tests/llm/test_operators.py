@@ -102,7 +102,9 @@ def test_near_copies_share_five_word_shingles(spark, texts):
             assert i in gone
 
 
-def test_lines(spark, texts):
+@pytest.mark.parametrize("held", [0, 64 << 20])
+def test_lines(spark, monkeypatch, texts, held):
+    monkeypatch.setattr(lines, "ARRAY_BYTES", held)
     held = collections.defaultdict(set)
     key = lambda line: line.encode().strip().lower()
     long = lambda k: len(k.decode()) >= 10
@@ -121,8 +123,12 @@ def test_lines(spark, texts):
     assert lines.drop_repeated_lines(frame(spark, [])).count() == 0
 
 
-def test_heavy_lines_and_shards(spark, monkeypatch):
+@pytest.mark.parametrize("held", [0, 64 << 20])
+def test_heavy_lines_and_shards(spark, monkeypatch, held):
+    """Routed probes and broadcast arrays answer alike; several shards, a hot key."""
     monkeypatch.setattr(lines, "HEAVY", 4)
+    monkeypatch.setattr(lines, "SHARD_KEYS", 8)
+    monkeypatch.setattr(lines, "ARRAY_BYTES", held)
     texts = ["the very common line\nunique line number %d\nshared line of pair %d" % (i, i // 2) for i in range(60)]
     got = {r.doc_id: r.n_dropped for r in lines.drop_repeated_lines(frame(spark, texts)).collect()}
     assert got == {i: (i > 0) + i % 2 for i in range(60)}
@@ -134,6 +140,18 @@ def test_perfect_hash_is_minimal():
     assert sorted(mph.slots(keys).tolist()) == list(range(len(keys)))
 
 
+def test_packed_shards_answer_documents():
+    rng = np.random.default_rng(4)
+    high, low = (rng.integers(0, 2**63, 5000).astype(np.uint64) for _ in range(2))
+    first, n = rng.integers(0, 10**9, 5000), rng.integers(1, 4, 5000)
+    shard = lines.Shard.unpack(lines.Shard.build(high, low, first, n).pack())
+    known, owner = shard.owners(high, low)
+    assert (known == (n >= 2)).all() and (owner[known] == first[n >= 2]).all()
+    assert not shard.owners(high, low ^ np.uint64(1))[0].any()  # the fingerprint tells another key
+    empty = lines.Shard.unpack(lines.Shard.build(*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2).pack())
+    assert not empty.owners(high, low)[0].any()
+
+
 def test_licenses(spark):
     texts = [None, "", "Released under the MIT License. UNDER the mit\nlicense!", "Apache License, Version 2.0 and CC-BY-NC 4.0", "cc by nc cc by nc", "GNU General Public License, version 3.", "commit licensee", "x " * 5000 + "under the mit license"]
     rows = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
