@@ -242,6 +242,20 @@ def candidate_match(d, degree: str, year: str, major: str, needs: str, nation: s
 # --- scores --------------------------------------------------------------------------
 
 
+def round2(d, x: str) -> str:
+    """MTH-01: two places, by the exact binary value, ties to even.
+
+    ``v`` splits into a part of 24 bits and a rest; both times 100 are exact,
+    so what is left beside the nearest whole number is exact as well.
+    """
+    near = "floor(v * 100 + 0.5)"
+    high = "cast(cast(v as float) as double)"
+    rest = f"(({high} * 100 - {near}) + (v - {high}) * 100)"
+    even = f"2 * floor(({near} + {rest} + 0.5) / 2)"
+    whole = f"case when {rest} > 0.5 then {near} + 1 when {rest} < -0.5 then {near} - 1 when abs({rest}) = 0.5 then {even} else {near} end"
+    return d.first(d.transform(d.array([f"cast({x} as double)"]), "v", f"cast({whole} as double) / 100"))
+
+
 def technical_depth(d, title: str, description: str, family: str) -> str:
     """SCO-03 over folded text."""
     parts = [f"case when contains({title}, {d.lit(k)}) then {a} when contains({description}, {d.lit(k)}) then {b} else 0 end" for terms, a, b in ((K.STRONG_KEYWORDS, 12, 10), (K.MEDIUM_KEYWORDS, 6, 3)) for k in terms]
@@ -250,11 +264,12 @@ def technical_depth(d, title: str, description: str, family: str) -> str:
     return f"cast(greatest(0, least(100, 25 + {' + '.join(parts)} + case when {family} in ({families}) then 10 else 0 end)) as double)"
 
 
-def role_fit(d, family: str, confidence: str) -> str:
+def role_fit(d, family: str, confidence: str, excluded: tuple[str, ...] = ()) -> str:
+    """SCO-02; no family is excluded unless the configuration says so."""
     boost = f"least(5.0, {confidence} * 5.0)"
-    sets = {k: ", ".join(d.lit(f) for f in v) for k, v in (("t", K.TARGET_ROLES), ("a", K.ADJACENT_ROLES), ("x", K.DEPRIORITIZED_ROLES))}
-    raw = f"case when {family} in ({sets['t']}) then least(100.0, 92.0 + {boost}) when {family} in ({sets['a']}) then 72.0 + {boost} when {family} in ({sets['x']}) then greatest(20.0, 35.0 - {boost}) when {family} = 'unknown' then 40.0 else 55.0 end"
-    return f"cast({raw} as double)"
+    cases = [(K.TARGET_ROLES, f"least(100.0, 92.0 + {boost})"), (K.ADJACENT_ROLES, f"72.0 + {boost}"), (K.DEPRIORITIZED_ROLES, f"greatest(20.0, 35.0 - {boost})"), (excluded, "10.0"), (("unknown",), "40.0")]
+    whens = " ".join(f"when {family} in ({', '.join(map(d.lit, names))}) then cast({value} as double)" for names, value in cases if names)
+    return round2(d, f"case {whens} else 55.0 end")
 
 
 def freshness(d, age: str, st: str) -> str:
@@ -284,11 +299,11 @@ def visibility(d, prestige: str, source: str, count: str = "1") -> str:
 def hidden_gem(d, st: str, family: str) -> str:
     """SCO-06 over the columns of the other scores."""
     quality = "case when prestige >= 95 then 85 when prestige >= 90 then 80 when prestige >= 80 then 75 when prestige >= 70 then 70 when prestige >= 60 then 62 else 55 end"
-    raw = f"0.25 * visibility + 0.25 * (technical_depth * 0.6 + role_fit * 0.4) + 0.20 * eligibility + 0.15 * freshness + 0.15 * ({quality})"
+    raw = f"0.25 * visibility + 0.25 * {round2(d, 'technical_depth * 0.6 + role_fit * 0.4')} + 0.20 * eligibility + 0.15 * freshness + 0.15 * ({quality})"
     weak = ", ".join(d.lit(f) for f in K.GEM_DEPRIORITIZED)
     cap1 = f"case when {family} in ({weak}) or technical_depth < 40 then 20.0 when role_fit < 50 or technical_depth < 50 then 35.0 else 100.0 end"
     cap2 = f"case when {st} = 'closed' then 10.0 when {st} in ('requires_login', 'unknown') then 30.0 else 100.0 end"
-    return f"cast(greatest(0.0, least({raw}, {cap1}, {cap2})) as double)"
+    return round2(d, f"greatest(0.0, least({raw}, {cap1}, {cap2}))")
 
 
 def status_open(d, st: str) -> str:
@@ -296,9 +311,9 @@ def status_open(d, st: str) -> str:
 
 
 def opportunity(d, preset: str | dict) -> str:
-    """SCO-10: weighted sum in the preset's order, within 0 and 100."""
+    """SCO-10: weighted sum in the preset's order, within 0 and 100, two places."""
     weights = K.PRESETS.get(preset.lower(), K.PRESETS[K.DEFAULT_PRESET]) if isinstance(preset, str) else custom_weights(preset)
-    return "cast(greatest(0.0, least(100.0, " + " + ".join(f"{k} * {w}" for k, w in weights.items()) + ")) as double)"
+    return round2(d, "greatest(0.0, least(100.0, " + " + ".join(f"{k} * {w}" for k, w in weights.items()) + "))")
 
 
 def custom_weights(weights: dict[str, float]) -> dict[str, float]:

@@ -10,9 +10,10 @@ a million postings under few titles costs few comparisons.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -20,6 +21,7 @@ from postforge.dialect import SPARK
 from postforge.functions import fixed as K
 from postforge.functions import rules as R
 from postforge.operators.graph import connected_components
+from postforge.session import cut
 
 
 @F.pandas_udf(DoubleType())
@@ -34,22 +36,26 @@ def keyed(jobs: DataFrame) -> DataFrame:
 
 
 def exact_links(jobs: DataFrame) -> DataFrame:
-    """(a, b, reason): links to the first row of each group of DED-01 R1, R3, R6.
+    """(a, b, reason): links to the first row of each group of DED-01 R1, R3 and
+    R6, and of R2 where titles are equal.
 
-    Title and place meet per place, so rows that share any place are linked.
+    Title and place meet per place, so rows that share any place are linked;
+    equal titles of different years are vetoed unless another rule holds, so
+    the year is part of that key.
     """
     rows = keyed(jobs)
-    base = rows.select("company_id", "ingest_seq", "apply_url", "ats_key", F.lower("title").alias("t"), "locations")
+    base = rows.select("company_id", "ingest_seq", "apply_url", "source_url", "ats_key", F.lower("title").alias("t"), "locations", F.coalesce(F.col("year").cast("string"), F.lit("")).alias("y"))
+    place = F.explode(F.transform("locations", lambda x: F.concat_ws("\x01", "t", "y", F.lower(x))))
     by = [
-        (base.where("apply_url <> ''").select("company_id", "ingest_seq", F.col("apply_url").alias("k")), "same canonical apply URL"),
-        (base.where("ats_key is not null").select("company_id", "ingest_seq", F.col("ats_key").alias("k")), "same ATS job ID"),
-        (base.select("company_id", "ingest_seq", F.explode(F.transform("locations", lambda x: F.concat("t", F.lit("\x01"), F.lower(x)))).alias("k")), "same company, same title, and overlapping location"),
+        (base.where("apply_url <> ''"), F.col("apply_url"), "same canonical apply URL"),
+        (base.where("source_url <> ''"), F.concat_ws("\x01", "source_url", "t"), "same canonical source URL"),
+        (base.where("ats_key is not null"), F.col("ats_key"), "same ATS job ID"),
+        (base, place, "same company, same title, and overlapping location"),
     ]
-    all_rows = None
-    for df, reason in by:
-        one = df.select("company_id", "k", "ingest_seq", F.lit(reason).alias("reason"))
-        all_rows = one if all_rows is None else all_rows.unionByName(one)
-    first = all_rows.groupBy("reason", "company_id", "k").agg(F.min("ingest_seq").alias("a"), F.count("*").alias("n")).where("n > 1")
+    found = [df.select("company_id", key.alias("k"), "ingest_seq", F.lit(reason).alias("reason")) for df, key, reason in by]
+    all_rows = reduce(DataFrame.unionByName, found)
+    # a table of its own is joined, so that a key that many rows share can be split
+    first = cut(all_rows.groupBy("reason", "company_id", "k").agg(F.min("ingest_seq").alias("a"), F.count("*").alias("n")).where("n > 1").select("reason", "company_id", "k", "a"))
     return all_rows.join(first, ["reason", "company_id", "k"]).where("ingest_seq > a").select("a", F.col("ingest_seq").alias("b"), "reason").distinct()
 
 
@@ -64,8 +70,9 @@ def similar_titles(jobs: DataFrame) -> DataFrame:
 
 
 def similar_links(jobs: DataFrame) -> DataFrame:
-    """(a, b, reason) of R4 and R5 under the veto of differing years: similar
-    rows are linked per year (R4) or per season and year (R5)."""
+    """(a, b, reason) of R2 for unequal titles, and of R4 and R5 under the veto
+    of differing years: similar rows are linked per source URL (R2), per year
+    (R4) or per season and year (R5)."""
     rows = jobs.select("company_id", F.lower("title").alias("t"), "ingest_seq", "season", "year")
     groups = rows.groupBy("company_id", "t", "season", "year").agg(F.min("ingest_seq").alias("first"))
     same = rows.join(groups.groupBy("company_id", "t", "year").agg(F.min("first").alias("a")), (rows["company_id"] == groups["company_id"]) & (rows["t"] == groups["t"]) & rows["year"].eqNullSafe(groups["year"]))
@@ -77,6 +84,10 @@ def similar_links(jobs: DataFrame) -> DataFrame:
     r4 = F.col("y1").eqNullSafe(F.col("y2")) & (F.col("similarity") > K.SURE_SIMILARITY)
     r5 = (F.col("y1") == F.col("y2")) & F.col("n1").eqNullSafe(F.col("n2"))
     near = met.where(r4 | r5).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    at = jobs.where("source_url <> ''").groupBy("company_id", F.lower("title").alias("t"), "source_url").agg(F.min("ingest_seq").alias("first"))
+    ends = [at.select("company_id", "source_url", F.col("t").alias(f"t{i}"), F.col("first").alias(c)) for i, c in ((1, "a"), (2, "b"))]
+    sure = sim.where(F.col("similarity") > K.SURE_SIMILARITY).join(ends[0], ["company_id", "t1"]).join(ends[1], ["company_id", "source_url", "t2"])
+    near = near.unionByName(sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return own.unionByName(near).select("a", "b", F.lit("same company with highly similar title").alias("reason")).distinct()
 
 
@@ -94,15 +105,49 @@ def priority(d, column: str, table: dict, default: int) -> str:
     return f"case {column} " + " ".join(f"when {d.lit(k)} then {v}" for k, v in table.items()) + f" else {default} end"
 
 
+def first_spellings(members: DataFrame, column: str) -> DataFrame:
+    """(cluster, column): the distinct case-folded values of an array column,
+    in the order of members, each as first spelled. Repeats meet in a partial
+    aggregate, so a large cluster sends one row for each value."""
+    each = members.select("cluster", "ingest_seq", F.posexplode(column).alias("i", "v"))
+    one = each.groupBy("cluster", F.lower("v").alias("f")).agg(F.min(F.struct("ingest_seq", "i", "v")).alias("m"))
+    return one.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["v"]).alias(column))
+
+
 def survivors(jobs: DataFrame, found: DataFrame) -> DataFrame:
-    """DED-03: one row per cluster, one shuffle; ties go to the earliest row."""
+    """DED-03: one row per cluster; ties go to the earliest row. Title and
+    company are the primary row's, other fields those of their best row; places
+    and tags are united; the content hash is that of the merged record."""
     d = SPARK
     rows = jobs.join(found, "ingest_seq").withColumns({
         "p_source": F.expr(priority(d, "source_type", K.SOURCE_PRIORITY, 2)), "p_status": F.expr(priority(d, "status", K.STATUS_PRIORITY, 0)), "n_text": F.length("description"),
         "u_apply": F.expr(R.url_specificity(d, "apply_url", True)), "u_source": F.expr(R.url_specificity(d, "source_url", False)), "seq": -F.col("ingest_seq"),
     })
     top = lambda c, *keys: F.max_by(c, F.struct(*keys, "seq")).alias(c)
-    return rows.groupBy("cluster").agg(
-        F.count("*").alias("members"), top("title", "p_source", "n_text", "status_confidence", "role_confidence"), top("description", "n_text"), top("status", "status_confidence", "p_status"), top("role_family", "role_confidence"),
-        top("sponsorship", "eligibility_confidence"), top("apply_url", "u_apply"), top("source_url", "u_source"), F.min("posted_at").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+    primary = ("p_source", "n_text", "status_confidence", "role_confidence")
+    merged = rows.groupBy("cluster").agg(
+        F.count("*").alias("members"), top("title", *primary), top("company_name", *primary), top("source_type", *primary), top("description", "n_text"), top("status", "status_confidence", "p_status"), top("role_family", "role_confidence"),
+        top("sponsorship", "eligibility_confidence"), top("apply_url", "u_apply"), top("source_url", "u_source"), F.min("posted_at").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("last_seen").alias("last_verified"),
+        F.when(F.bool_or("is_internship"), F.array(F.lit("internship"))).otherwise(F.array().cast("array<string>")).alias("tags"),
     )
+    places = first_spellings(rows.select("cluster", "ingest_seq", "locations"), "locations")
+    merged = merged.join(places, "cluster", "left").withColumn("locations", F.coalesce("locations", F.array().cast("array<string>")))
+    return merged.withColumn("content_hash", F.expr(content_hash(d)))
+
+
+def content_hash(d) -> str:
+    return f"substr({d.sha1('concat(lower(title), chr(10), lower(description), chr(10), source_url)')}, 1, 16)"
+
+
+def members(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """JOIN-15: (cluster, ingest_seq, source_type, source_url, place) of every
+    member, numbered within its cluster."""
+    rows = jobs.join(found, "ingest_seq").select("cluster", "ingest_seq", "source_type", "source_url")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy("ingest_seq")).cast("long"))
+
+
+def resolved_order(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """DED-04: (ingest_seq, single): one row per cluster (its first) and every
+    other row; merged ones come first, each part in order."""
+    rows = jobs.select("ingest_seq").join(found, "ingest_seq", "left").where("cluster is null or cluster = ingest_seq")
+    return rows.select("ingest_seq", F.col("cluster").isNull().alias("single")).orderBy("single", "ingest_seq")

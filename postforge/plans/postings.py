@@ -77,7 +77,7 @@ def layers(d) -> list[dict[str, str]]:
     forms = {**R.url_forms(d, "src"), **R.url_forms(d, "app")}
     folded = {"source_url": R.url_whole(d, "source_url_raw", "src"), "apply_url": R.url_whole(d, "apply_url_raw", "app"), "title_f": R.fold(d, "title"), "body_f": R.fold(d, "description"), "department_f": R.fold(d, "department"), "categories_f": d.array(["company_category"]), "snips": d.concat_lists(f"({d.sentences('title')})", f"({d.sentences('description')})"), "remote_type": R.remote_type(d, "location", "description"), **R.season_parts(d, "title", "description"), **R.program_type(d, "title", "description")}
     degree = {**R.degree_flags(d, "snips"), "graduation_years": R.graduation_years(d, "snips"), "class_years": R.labels(d, "snips", K.CLASS_YEARS), "majors": R.labels(d, "snips", K.MAJORS), "early_years": R.early_years_friendly(d, "snips"), "sponsorship": R.sponsorship(d, "snips"), "citizenship": R.citizenship(d, "snips"), "gpa": R.gpa(d, "snips")}
-    more = {"undergrad_friendly": R.undergrad_friendly(d), "eligibility_confidence": R.eligibility_confidence(d), "locations": R.locations(d, "location", "remote_type"), "status": R.status(d, "body_f", "source_type"), "is_internship": "title_program is not null or description_program is not null", "age_days": f"greatest(0, {d.days('last_seen', AS_OF)})", "content_hash": f"substr({d.sha1(f'concat(lower(title), chr(10), lower(description), chr(10), source_url)')}, 1, 16)"}
+    more = {"undergrad_friendly": R.undergrad_friendly(d), "eligibility_confidence": R.eligibility_confidence(d), "locations": R.locations(d, "location", "remote_type"), "status": R.status(d, "body_f", "source_type"), "is_internship": "title_program is not null or description_program is not null", "age_days": f"greatest(0, {d.days('greatest(posted_at, last_seen)', AS_OF)})", "content_hash": f"substr({d.sha1(f'concat(lower(title), chr(10), lower(description), chr(10), source_url)')}, 1, 16)"}
     return [e, forms, folded, degree, more]
 
 

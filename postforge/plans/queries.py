@@ -194,32 +194,56 @@ def _norm(spark, sf_dir):
     return postings.silver(spark, sf_dir)
 
 
-_PAIRS_SQL = f"""k as (select company_id, ingest_seq, apply_url a, {R.ats_key(DUCK, 'source_url', 'apply_url')} b, lower(title) t, locations from jobs),
+_PAIRS_SQL = f"""k as (select company_id, ingest_seq, apply_url a, source_url u, {R.ats_key(DUCK, 'source_url', 'apply_url')} b, lower(title) t, year y, locations from jobs),
 g as (select 'same canonical apply URL' reason, company_id, a k, ingest_seq from k where a <> '' union all select 'same ATS job ID', company_id, b, ingest_seq from k where b is not null
-  union all select 'same company, same title, and overlapping location', company_id, t || chr(1) || lower(l), ingest_seq from (select company_id, t, ingest_seq, unnest(locations) l from k)),
+  union all select 'same canonical source URL', company_id, u || chr(1) || t, ingest_seq from k where u <> ''
+  union all select 'same company, same title, and overlapping location', company_id, t || chr(1) || coalesce(y::varchar, 'none') || chr(1) || lower(l), ingest_seq from (select company_id, t, y, ingest_seq, unnest(locations) l from k)),
 f as (select reason, company_id, k, min(ingest_seq) a from g group by all),
 links as (select distinct f.a, g.ingest_seq b, reason from g join f using (reason, company_id, k) where g.ingest_seq > f.a)"""
 catalog.register("q_pairs_exact", lambda s, d: resolve.exact_links(_norm(s, d)), normalized_sql("select * from links").replace(" select * from links", f", {_PAIRS_SQL} select * from links"))
-_RECURSIVE = normalized_sql("select 1").replace("with ", "with recursive ", 1).removesuffix(" select 1") + f", {_PAIRS_SQL}, e as (select a, b from links union select b, a from links), r as (select a n, a c from e union select e.b, r.c from r join e on e.a = r.n where r.c < e.b), comp as (select n ingest_seq, min(c) cluster from r group by 1)"
+# the rule text over every pair of a firm's rows: which rules hold, then the veto
+_RULES_SQL = f"""k as (select company_id, ingest_seq s, apply_url a, source_url u, {R.ats_key(DUCK, 'source_url', 'apply_url')} b, lower(title) t, year y, list_transform(locations, lambda l: lower(l)) ls from jobs),
+p as (select x.s s1, z.s s2, x.a = z.a and x.a <> '' r1, x.u = z.u and x.u <> '' and x.t = z.t r2, coalesce(x.b = z.b, false) r3, x.t = z.t and list_has_any(x.ls, z.ls) r6, x.t = z.t and x.y is distinct from z.y veto
+  from k x join k z on x.company_id = z.company_id and x.s < z.s),
+l as (select s1 a, s2 b from p where r1 or r2 or r3 or (r6 and not veto))"""
+_RECURSIVE = normalized_sql("select 1").replace("with ", "with recursive ", 1).removesuffix(" select 1") + f", {_RULES_SQL}, e as (select a, b from l union select b, a from l), r as (select a n, a c from e union select e.b, r.c from r join e on e.a = r.n where r.c < e.b), comp as (select n ingest_seq, min(c) cluster from r group by 1)"
 catalog.register("q_components_exact", lambda s, d: resolve.clusters(resolve.exact_links(_norm(s, d))), f"{_RECURSIVE} select ingest_seq, cluster from comp")
 
 
+def _resolved(spark, sf_dir):
+    return resolve.clusters(resolve.exact_links(_norm(spark, sf_dir)))
+
+
 def survivors(spark, sf_dir):
-    rows = jobs(spark, sf_dir)
-    found = resolve.clusters(resolve.exact_links(_norm(spark, sf_dir)))
-    return resolve.survivors(rows, found)
+    found = resolve.survivors(jobs(spark, sf_dir), _resolved(spark, sf_dir))
+    return found.withColumns({c: F.array_join(c, "; ") for c in ("locations", "tags")})
 
 
 def _survivors_sql() -> str:
     top = lambda c, *keys: f"arg_max({c}, {{{', '.join(f'{chr(39)}k{i}{chr(39)}: {k}' for i, k in enumerate((*keys, '-ingest_seq')))}}}) {c}"
     cte = jobs_sql("select 1").replace("with ", "with recursive ", 1).removesuffix(" select 1") + _RECURSIVE[_RECURSIVE.index(", k as (") :]
     ps, pt = resolve.priority(DUCK, "source_type", K.SOURCE_PRIORITY, 2), resolve.priority(DUCK, "status", K.STATUS_PRIORITY, 0)
-    return f"""{cte}, m as (select j.*, cluster, {ps} p_source, {pt} p_status, length(description) n_text, {R.url_specificity(DUCK, 'apply_url', True)} u_apply, {R.url_specificity(DUCK, 'source_url', False)} u_source from jobs j join comp using (ingest_seq))
-select cluster, count(*) members, {top('title', 'p_source', 'n_text', 'status_confidence', 'role_confidence')}, {top('description', 'n_text')}, {top('status', 'status_confidence', 'p_status')}, {top('role_family', 'role_confidence')}, {top('sponsorship', 'eligibility_confidence')},
-  {top('apply_url', 'u_apply')}, {top('source_url', 'u_source')}, min(posted_at) first_seen, max(last_seen) last_seen from m group by cluster"""
+    primary = ("p_source", "n_text", "status_confidence", "role_confidence")
+    return f"""{cte}, m as (select j.*, cluster, {ps} p_source, {pt} p_status, length(description) n_text, {R.url_specificity(DUCK, 'apply_url', True)} u_apply, {R.url_specificity(DUCK, 'source_url', False)} u_source from jobs j join comp using (ingest_seq)),
+x as (select cluster, ingest_seq, unnest(locations) v, unnest(range(len(locations))) i from m), y as (select cluster, arg_min(v, {{'a': ingest_seq, 'b': i}}) v, min({{'a': ingest_seq, 'b': i}}) o from x group by cluster, lower(v)),
+z as (select cluster, string_agg(v, '; ' order by o) locations from y group by cluster),
+w as (select cluster, count(*) members, {top('title', *primary)}, {top('company_name', *primary)}, {top('source_type', *primary)}, {top('description', 'n_text')}, {top('status', 'status_confidence', 'p_status')}, {top('role_family', 'role_confidence')}, {top('sponsorship', 'eligibility_confidence')},
+  {top('apply_url', 'u_apply')}, {top('source_url', 'u_source')}, min(posted_at) first_seen, max(last_seen) last_seen, max(last_seen) last_verified, case when bool_or(is_internship) then 'internship' else '' end tags from m group by cluster)
+select w.*, coalesce(z.locations, '') locations, {resolve.content_hash(DUCK)} content_hash from w left join z using (cluster)"""
 
 
 catalog.register("q_survivors", survivors, _survivors_sql())
+catalog.register("q_members", lambda s, d: resolve.members(_norm(s, d), _resolved(s, d)), f"{_RECURSIVE} select cluster, ingest_seq, source_type, source_url, row_number() over (partition by cluster order by ingest_seq) place from comp join jobs using (ingest_seq)")
+catalog.register("q_resolved_order", lambda s, d: resolve.resolved_order(_norm(s, d), _resolved(s, d)), f"{_RECURSIVE} select j.ingest_seq, cluster is null single from jobs j left join comp using (ingest_seq) where cluster is null or cluster = j.ingest_seq")
+
+
+def cluster_reasons(spark, sf_dir):
+    links = resolve.exact_links(_norm(spark, sf_dir))
+    return resolve.reasons(links, resolve.clusters(links)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+# a group's links name all its rules, so reasons agree with those of all pairs but for pairs that only the veto spared
+catalog.register("q_cluster_reasons", cluster_reasons, f"{_RECURSIVE}, {_PAIRS_SQL[_PAIRS_SQL.index('g as (') :].replace('from k', 'from k2')}, q as (select distinct cluster, reason from links join comp on comp.ingest_seq = links.b) select cluster, string_agg(reason, '; ' order by reason) reasons from q group by 1".replace(", g as (", ", k2 as (select company_id, s ingest_seq, a, u, b, t, y, locations from k join (select ingest_seq s, locations from jobs) using (s)), g as (", 1))
 catalog.register("q_titles_similar", lambda s, d: resolve.similar_titles(_norm(s, d)))
 catalog.register("q_components_similar", lambda s, d: resolve.clusters(resolve.exact_links(_norm(s, d)).unionByName(resolve.similar_links(_norm(s, d)))))
 
