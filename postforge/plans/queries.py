@@ -297,17 +297,16 @@ catalog.register("q_json_payload", lambda s, d: table(s, d, "events").select("ev
 
 
 def _discovery_sql() -> str:
-    rows = ", ".join("(%d, '%s')" % (i, q.replace("'", "''")) for i, q in enumerate(discovery.discovery_queries(), 1))
-    terms = discovery.term_lists()
-    cte = ", ".join(f"{n} as (select unnest({DUCK.array(DUCK.lit(x) for x in v)}) v, unnest(range({len(v)})) o)" for n, v in terms.items())
-    q = lambda *p: "|| ' ' ||".join(f"'\"' || {x}.v || '\"'" if x != "domain_term" else f"{x}.v" for x in p)
-    shapes = [("season", "role"), ("season",), ("season", "role", "hidden_gem_term"), ("season", "location_term", "role"), ("year", "role"), ("domain_term", "season", "role"), ("domain_term", "season", "role", "hidden_gem_term")]
-    parts = []
-    for i, names in enumerate(shapes):
-        text = "'\"' || season.v || '\" \"C++\" \"trading systems\" \"intern\"'" if i == 1 else q(*names)
-        parts.append(f"select {i} t, {', '.join(f'{n}.o o{k}' for k, n in enumerate(names))}{''.join(f', 0 o{k}' for k in range(len(names), 4))}, {text} q from {', '.join(names)}")
-    del rows
-    return f"with {cte}, a as ({' union all '.join(parts)}), n as (select *, row_number() over (order by t, o0, o1, o2, o3) r from a), u as (select lower(q) k, min(r) r, arg_min(q, r) q from n group by 1) select row_number() over (order by r) as position, q as query from u order by r limit 60"
+    """The seven templates written out over value lists."""
+    values = lambda name, terms: f"{name} as (select * from (values {', '.join(f'({i}, {DUCK.lit(t)})' for i, t in enumerate(terms))}) v(o, v))"
+    cte = ", ".join(values(*x) for x in (("season", K.DISCOVERY_SEASONS[:4]), ("role", K.DISCOVERY_ROLES[:8]), ("gem", K.DISCOVERY_GEMS[:8]), ("spot", K.DISCOVERY_PLACES[:5]), ("site", tuple(K.DISCOVERY_DOMAINS.values())[:5]), ("year", ("2027", "2026"))))
+    q = lambda x: f"'\"' || {x}.v || '\"'"
+    parts = [
+        ("season, role", f"{q('season')} || ' ' || {q('role')}"), ("season", f"{q('season')} || ' \"C++\" \"trading systems\" \"intern\"'"), ("season, role, gem", f"{q('season')} || ' ' || {q('role')} || ' ' || {q('gem')}"), ("season, spot, role", f"{q('season')} || ' ' || {q('spot')} || ' ' || {q('role')}"),
+        ("year, role", f"{q('year')} || ' ' || {q('role')}"), ("site, season, role", f"site.v || ' ' || {q('season')} || ' ' || {q('role')}"), ("site, season, role, gem", f"site.v || ' ' || {q('season')} || ' ' || {q('role')} || ' ' || {q('gem')}"),
+    ]
+    selects = [f"select {i} t, [{', '.join(f'{n}.o' for n in names.split(', '))}] o, {text} q from {names}" for i, (names, text) in enumerate(parts)]
+    return f"with {cte}, a as ({' union all '.join(selects)}), n as (select *, row_number() over (order by t, o) r from a), u as (select min(r) r, arg_min(q, r) q from n group by lower(q)) select row_number() over (order by r) as position, q as query from u order by r limit 60"
 
 
 catalog.register("q_discovery_queries", lambda s, d: discovery.discovery_frame(s), _discovery_sql())

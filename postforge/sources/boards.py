@@ -1,43 +1,22 @@
-"""A Python data source over captured board responses, with fault isolation.
+"""Captured board responses as a table, with fault isolation (SRC-23).
 
-``spark.dataSource.register(CapturedBoards)`` then
-``spark.read.format("captured_boards").option("path", dir).load()``: one
-partition a file; a file that cannot be read becomes an error row, the others
-go on (SRC-23).
+Spark reads the files itself, so any file system it knows will do; a file that
+cannot be parsed becomes an error row and the others go on.
 """
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-class CapturedBoards(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "captured_boards"
-
-    def schema(self) -> str:
-        return "company_id string, company_name string, payload string, error string"
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.files = [f for f in options.get("files", "").split(",") if f]
-
-    def partitions(self):
-        return [InputPartition(f) for f in self.files] or [InputPartition(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        try:
-            with open(partition.value, encoding="utf-8") as f:
-                data = json.load(f)
-            yield data["company_id"], data.get("company_name", data["company_id"]), json.dumps(data["payload"]), None
-        except (OSError, ValueError, KeyError) as e:
-            yield partition.value, partition.value, None, f"{type(e).__name__}: {e}"
+def captured_boards(spark: SparkSession, path: str) -> DataFrame:
+    """(file, company_id, company_name, payload, error) of every file below
+    ``path``: documents {"company_id", "company_name"?, "payload"}. The payload
+    stays JSON text for the board readers; an error names what is missing."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    held = texts.select("file", F.try_parse_json("value").isNull().alias("broken"), *[F.get_json_object("value", f"$.{c}").alias(c) for c in ("company_id", "company_name", "payload")])
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("company_id", "payload")])
+    error = F.when(F.col("broken"), "not JSON").when(missing != "", F.concat(F.lit("missing: "), missing))
+    good = error.isNull()
+    return held.select("file", *[F.when(good, F.col(c)).alias(c) for c in ("company_id",)], F.when(good, F.coalesce("company_name", "company_id")).alias("company_name"), F.when(good, F.col("payload")).alias("payload"), error.alias("error"))

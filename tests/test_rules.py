@@ -11,7 +11,7 @@ from postforge.dialect import SPARK
 from postforge.functions import html as H
 from postforge.functions import rules as R
 from postforge.operators import classify, discovery, graph, resolve, state
-from postforge.sources import pack, payloads, sinks
+from postforge.sources import boards, pack, payloads, sinks
 from postforge.streaming import actions
 
 
@@ -147,12 +147,30 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("folded").select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_discovery():
-    found = discovery.discovery_queries()
+def test_discovery(spark, tmp_path):
+    queries = lambda **k: [r.query for r in discovery.discovery_frame(spark, **k).orderBy("position").collect()]
+    found = queries()
     assert len(found) == 60 and found[0] == '"Summer 2027" "Software Engineer Intern"'
-    assert len(discovery.discovery_queries(exhaustive=True)) == 250
+    assert len({q.lower() for q in queries(exhaustive=True)}) == 250
+    own = queries(season=" summer 2027 ", role="Own Role", domain="gree", limit=100)
+    assert own[0] == '"Summer 2027" "Own Role"' and '"2027" "Own Role"' in own and 'site:greenhouse.io "Summer 2027" "Own Role"' in own and not any("lever" in q for q in own)
+    assert queries(season="", domain="LEVER", limit=3) == found[:3]
     with pytest.raises(ValueError):
-        discovery.discovery_queries(domain="nowhere")
+        queries(domain="nowhere")
+    discovery.write_queries(discovery.discovery_frame(spark, limit=2), str(tmp_path / "q.txt"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "q.txt")).collect()) == sorted(found[:2])
+    with pytest.raises(ValueError):
+        discovery.write_queries(discovery.discovery_frame(spark, limit=2), str(tmp_path / "q"), "xml")
+
+
+def test_captured_boards(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for name, text in (("a", '{"company_id": "acme", "payload": {"jobs": [1]}}'), ("b", "{oops"), ("c", '{"company_name": "x"}'), ("d", '{"company_id": "d", "company_name": "Dee", "payload": []}')):
+        (tmp_path / "b" / f"{name}.json").write_text(text)
+    rows = {r.file[-6]: r for r in boards.captured_boards(spark, str(tmp_path)).collect()}
+    assert (rows["a"].company_id, rows["a"].company_name, rows["a"].payload, rows["a"].error) == ("acme", "acme", '{"jobs":[1]}', None)
+    assert rows["b"].error == "not JSON" and rows["c"].error == "missing: company_id, payload" and rows["c"].company_name is None
+    assert (rows["d"].company_name, rows["d"].payload) == ("Dee", "[]")
 
 
 def test_page_parsing(spark):
