@@ -25,7 +25,7 @@ TOUCHES = {
 }
 
 #: Action names as typed to action names as stored.
-ALIASES = {"save": "saved", "ignore": "ignored", "apply": "applied", "review": "reviewed", "accept": "reviewed"}
+ALIASES = {"save": "saved", "ignore": "ignored", "mark_applied": "applied", "accept": "reviewed", "accepted": "reviewed", "mark_reviewed": "reviewed"}
 
 
 def fold_aggregates() -> list:
