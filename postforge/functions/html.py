@@ -22,17 +22,71 @@ BLOCKS = {"article", "div", "li", "section", "tr", "td"}
 FACTS = "title string, text string, json_ld array<string>, headings array<string>, anchors array<struct<text:string,href:string>>, items array<string>, blocks array<struct<title:string,href:string,text:string>>"
 
 
+LISTS = {"ul", "ol"}
+HEADINGS = {"h1", "h2", "h3", "h4"}
+MARKED = HEADINGS | {"a", "p", "li"}
+#: Starts and ends before which an open paragraph ends by itself.
+ENDS_P = BLOCKS | LISTS | {"p", "h1", "h2", "h3", "h4", "table", "main", "header", "footer", "form", "body"}
+#: Lengths of a block's text that may be a posting.
+SHORTEST, LONGEST = 40, 2400
+
+
 class _Page(HTMLParser):
+    """Marks and blocks hold where their text begins in the page's words, so
+    what stays open costs nothing; left-out end tags of p and li are implied."""
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url, self.title, self.words, self.ld, self.headings, self.anchors, self.items = url, [], [], [], [], [], []
         self.blocks: list[dict] = []
         self.open: list[dict] = []
         self.skip, self.in_title, self.in_ld = 0, False, False
-        self.marks: list[tuple[str, list[str], str]] = []
+        self.marks: list[tuple[str, int, str]] = []  # kind, where its text begins, link; lists are kept as bounds
+        self.lists, self.solid = 0, 0  # open lists, characters so far without white space
+
+    def _end_mark(self, i: int):
+        kind, begin, href = self.marks.pop(i)
+        if kind in LISTS:
+            return
+        joined = " ".join(" ".join(self.words[begin:]).split())
+        if kind == "a":
+            self.anchors.append({"text": joined, "href": href})
+        elif kind in ("p", "li"):
+            self.items.append(joined)
+        else:
+            self.headings.append(joined)
+        if kind not in ("p", "li") and self.open and joined:
+            self.open[-1]["seeds"].append((joined, href))
+
+    def _imply(self, *kinds: str):
+        """End the open marks of these kinds in the list at hand, with what stands in them."""
+        i = low = len(self.marks)
+        while i and (self.marks[i - 1][0] in kinds or self.marks[i - 1][0] not in LISTS):
+            i -= 1
+            low = i if self.marks[i][0] in kinds else low
+        for k in range(len(self.marks) - 1, low - 1, -1):
+            self._end_mark(k)
+
+    def _end_block(self, i: int):
+        self._close(self.open.pop(i), self.open[i - 1] if i else None)
+
+    def _end_list_items(self):
+        while self.open and self.open[-1]["tag"] == "li" and self.open[-1]["lists"] == self.lists:
+            self._end_block(len(self.open) - 1)
+
+    def close(self):
+        super().close()
+        self._imply("p", "li", *LISTS)  # the end of the page ends them
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if tag in ENDS_P:
+            self._imply("p")
+        if tag == "li":
+            self._imply("p", "li")
+            self._end_list_items()
+        elif tag in HEADINGS or tag == "a":  # neither stands in its own kind, so few marks are open at a time
+            self._imply(*(HEADINGS if tag in HEADINGS else ("a",)))
         if tag in SKIPPED:
             self.skip += 1
             self.in_ld = tag == "script" and (a.get("type") or "").lower() == "application/ld+json"
@@ -40,46 +94,45 @@ class _Page(HTMLParser):
                 self.ld.append("")
         elif tag == "title":
             self.in_title = True
-        elif tag in ("h1", "h2", "h3", "h4", "a", "p", "li"):
-            self.marks.append((tag, [], urldefrag(urljoin(self.url, a.get("href") or ""))[0] if tag == "a" and a.get("href") else ""))
+        elif tag in MARKED:
+            self.marks.append((tag, len(self.words), urldefrag(urljoin(self.url, a.get("href") or ""))[0] if tag == "a" and a.get("href") else ""))
+        elif tag in LISTS:
+            self.marks.append((tag, len(self.words), ""))
+            self.lists += 1
         if tag in BLOCKS:
-            self.open.append({"tag": tag, "text": [], "seeds": []})
+            self.open.append({"tag": tag, "begin": len(self.words), "solid": self.solid, "lists": self.lists, "seeds": []})
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip, self.in_ld = max(0, self.skip - 1), False
         elif tag == "title":
             self.in_title = False
-        for i in range(len(self.marks) - 1, -1, -1):
-            if self.marks[i][0] == tag:
-                kind, text, href = self.marks.pop(i)
-                joined = " ".join(" ".join(text).split())
-                if kind == "a":
-                    self.anchors.append({"text": joined, "href": href})
-                elif kind in ("p", "li"):
-                    self.items.append(joined)
-                else:
-                    self.headings.append(joined)
-                if kind not in ("p", "li") and self.open and joined:
-                    self.open[-1]["seeds"].append((joined, href))
-                break
+        if tag in ENDS_P and tag != "p":
+            self._imply("p")
+        if tag in LISTS:
+            self._imply("p", "li")
+            self._end_list_items()
+            self.lists = max(0, self.lists - 1)
+        if tag in MARKED or tag in LISTS:
+            i = next((i for i in range(len(self.marks) - 1, -1, -1) if self.marks[i][0] == tag), None)
+            if i is not None:
+                self._end_mark(i)
         if tag in BLOCKS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i]["tag"] == tag:
-                    self._close(self.open.pop(i), self.open[i - 1] if i else None)
-                    break
+            i = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"] == tag), None)
+            if i is not None:
+                self._end_block(i)
 
     def _close(self, block: dict, outer: dict | None):
-        text = " ".join(" ".join(block["text"]).split())
-        low = text.lower()
         seeds = [s for s in block["seeds"] if any(t in s[0].lower() for t in K.ROLE_TERMS)]
-        if seeds and 40 <= len(text) <= 2400 and any(t in low for t in K.ROLE_TERMS):
-            href = next((h for _, h in block["seeds"] if h), "")
-            self.blocks.append({"title": seeds[0][0], "href": href, "text": text})  # the nearest container takes the seeds
-        elif outer is not None:
-            outer["seeds"] += block["seeds"]
+        if seeds and self.solid - block["solid"] <= LONGEST:
+            text = " ".join(" ".join(self.words[block["begin"] :]).split())
+            low = text.lower()
+            if SHORTEST <= len(text) <= LONGEST and any(t in low for t in K.ROLE_TERMS):
+                href = next((h for _, h in block["seeds"] if h), "")
+                self.blocks.append({"title": seeds[0][0], "href": href, "text": text})  # the nearest container takes the seeds
+                return
         if outer is not None:
-            outer["text"] += block["text"]
+            outer["seeds"] += block["seeds"]
 
     def handle_data(self, data):
         if self.in_ld:
@@ -90,10 +143,7 @@ class _Page(HTMLParser):
             self.title.append(data)
             return
         self.words.append(data)
-        for _, text, _ in self.marks:
-            text.append(data)
-        if self.open:
-            self.open[-1]["text"].append(data)
+        self.solid += len(data) - sum(map(data.count, " \n\t\r\f"))
 
 
 def parse_page(html: str | None, url: str | None = None) -> dict:

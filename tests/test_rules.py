@@ -1,8 +1,12 @@
 """Golden values and order independence of the core operators."""
 
 import datetime
+import json
 import random
+import time
+import zipfile
 from difflib import SequenceMatcher
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +189,25 @@ def test_page_parsing(spark):
     assert H.verified(H.candidates(H.page_facts(df)), H.page_facts(df)).first().check == "verified"
 
 
+def test_end_tags_may_be_left_out():
+    items = H.parse_page("<ul><li>One<li>Two <b>bold<ol><li>inner</ol><li>Three</ul><p>para one<p>para two<div>after</div>")["items"]
+    assert items == ["One", "inner", "Two bold inner", "Three", "para one", "para two"]
+    jobs = "".join(f"<li><a href='/j/{i}'>FPGA Engineer Intern {i}</a> a role for students who like hardware in London" for i in range(3))
+    blocks = H.parse_page(f"<ul>{jobs}</ul>", "https://a.com")["blocks"]
+    assert [(b["title"], b["href"]) for b in blocks] == [(f"FPGA Engineer Intern {i}", f"https://a.com/j/{i}") for i in range(3)]
+
+
+def test_parsing_takes_time_in_proportion():
+    def seconds(n):
+        page = "<div>" * n + "<li>item <a>link" * n + "</b>" * n
+        began = time.process_time()
+        assert len(H.parse_page(page)["items"]) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.02)
+
+
 def test_slugs_and_coordinates(spark):
     df = spark.createDataFrame([("Jane Street", "https://boards.greenhouse.io/janest", None, ["JS", "Jane"])], "name string, careers_url string, ats_slug string, aliases array<string>")
     assert df.select(payloads.slug_candidates().alias("x")).first().x == ["janest", "janestreet", "jane-street", "jane"]
@@ -192,7 +215,7 @@ def test_slugs_and_coordinates(spark):
     assert tuple(u.select(payloads.workday_coordinates().alias("x")).first().x) == ("acme", "wd5", "External")
 
 
-def test_pack_and_sinks(spark, tmp_path):
+def test_pack_and_sinks(spark, tmp_path, monkeypatch):
     assert pack.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     with pytest.raises(pack.PackError):
         pack.load_yaml(tmp_path / "none.yaml")
@@ -200,7 +223,19 @@ def test_pack_and_sinks(spark, tmp_path):
     sinks.write_markdown(df, tmp_path / "r.md")
     sinks.write_html({"All": df}, tmp_path / "r.html")
     sinks.write_json(df, tmp_path / "r.json")
-    sinks.write_xlsx({"All": df}, tmp_path / "r.xlsx")
+    assert json.loads((tmp_path / "r.json").read_text()) == {"jobs": [{"id": 1, "title": "a|b <x>"}], "metadata": {}}
+    many = spark.range(12_000).withColumn("apply_url", F.lit("https://a.com/?q=1&r=2"))
+    sinks.write_json(many, tmp_path / "many.json")
+    sinks.write_html({"All": many}, tmp_path / "many.html")
+    sinks.write_xlsx({"All": many, "None": many.limit(0)}, tmp_path / "r.xlsx")
+    assert len(json.loads((tmp_path / "many.json").read_text())["jobs"]) == (tmp_path / "many.html").read_text().count("<tr><td>") == 12_000
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as z:
+        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        assert len(sheet.find("{*}sheetData")) == 12_001 and sheet.find("{*}autoFilter").get("ref") == "A1:B12001"
+        assert len(ElementTree.fromstring(z.read("xl/worksheets/sheet2.xml")).find("{*}sheetData")) == 1
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 100)
+    with pytest.raises(ValueError):
+        sinks.write_xlsx({"All": many}, tmp_path / "large.xlsx")
     sinks.write_csv(df.limit(0), str(tmp_path / "csv"))
     assert "a\\|b" in (tmp_path / "r.md").read_text() and "&lt;x&gt;" in (tmp_path / "r.html").read_text()
     assert next((tmp_path / "csv").glob("part-*")).read_text().strip() == "id,title"
