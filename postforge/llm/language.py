@@ -30,6 +30,8 @@ SAMPLE = 400
 QUANTILE = 0.005
 #: Lengths are told apart by powers of two of trigrams, up to 2 ** (BANDS - 1).
 BANDS = 11
+#: Labels whose counts a broadcast may hold; beyond (dirty labels), they are joined by shuffle.
+MANY_LABELS = 100_000
 FOLDS = 5
 UNDETERMINED = "und"
 
@@ -132,7 +134,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     # a uniform share of the hash range first, so that few texts are sorted; then the exact bound
     share = F.coalesce(F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n") + 1e-3), F.lit(1.0))
-    some = labelled.join(F.broadcast(per), "lang").where((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) <= share)
+    per = cut(per)
+    some = labelled.join(F.broadcast(per) if per.count() <= MANY_LABELS else per, "lang").where((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) <= share)
     best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i"))).where(F.col("r") <= sample)
     rows = cut(best.select("lang", "o", "i", "text").mapInArrow(_count_texts, "lang string, o long, i string, tf binary, lead binary").orderBy("lang", "o", "i"))
     n, df = 0, np.zeros(DIMS, np.int64)
@@ -164,8 +167,14 @@ def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(id, lang_pred, score, rejected), with ``keep`` every column of ``docs``
-    and those three behind (the given columns must not bear their names)."""
+    and those three behind; given columns of those names give way to them.
+
+    Null texts and texts without a letter are ``und``, score 0, rejected. Of
+    equally similar languages the one first in alphabetical order is taken.
+    """
     spark: SparkSession = docs.sparkSession
+    if keep:
+        docs = docs.drop(*[c for c in ("lang_pred", "score", "rejected") if c not in (id_col, text_col)])
     shared = spark.sparkContext.broadcast((model.idf, model.centroids, model.langs, model.floors))  # DIMS floats a centroid
 
     small_batches(spark)

@@ -379,7 +379,7 @@ def fit(train: DataFrame) -> Model:
     codes, bits = Codes(matrix), table_bits(int(matrix.sum()))
     shared = spark.sparkContext.broadcast(codes)
     rows = train.mapInArrow(_count_bytes(bits), "block int, data binary")
-    merged = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_merge_blocks(shared, bits), "block int, data binary")
+    merged = cut(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_merge_blocks(shared, bits), "block int, data binary"))  # all blocks at once, then read one by one
     tables = [np.zeros(1 << bits, np.uint16) for _ in ORDERS]
     for row in merged.toLocalIterator():
         at = row.block >> 2 << BLOCK_BITS

@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = fingerprint_links(classes.select("fp"), radius)
     reach = connected_components(links)
     named = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    lowest = named.groupBy("c").agg(F.min("first").alias("component_id"))
+    lowest = cut(named.groupBy("c").agg(F.min("first").alias("component_id")))  # a table of its own: the join can split a large component
     final = named.join(lowest, "c").select("fp", "component_id")
     out = marked.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
@@ -346,7 +346,8 @@ def near_copy_links(signed: DataFrame, shared: DataFrame, similarity: float) ->
     bucket of more than three classes that are not of one component by then
     are compared whole; a large bucket is cut into pairs of blocks.
     """
-    sets = cut(signed.join(shared.select("c").distinct(), "c").groupBy("c").agg(F.first("s").alias("s")))
+    # one row a class first, where copies meet in a partial aggregate, then those with company
+    sets = cut(signed.groupBy("c").agg(F.first("s").alias("s")).join(shared.select("c").distinct(), "c", "left_semi"))
     ends = F.explode(F.array("lo", "hi")).alias("e")
     pairs = shared.select("c", ends).where("c <> e").select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("c").alias("a"), "s"), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("r")), "b")
@@ -375,7 +376,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes, shared = shared_buckets(signed)
     reach = connected_components(near_copy_links(signed, shared, similarity))
     named = classes.join(reach, F.col("c") == F.col("node"), "left").select("c", "first", F.coalesce("component", "c").alias("g"))
-    lowest = named.groupBy("g").agg(F.min("first").alias("kept_id"))
+    lowest = cut(named.groupBy("g").agg(F.min("first").alias("kept_id")))  # a table of its own: the join can split a large group
     final = named.join(lowest, "g").select("c", "kept_id")
     return signed.select("id", "c").join(final, "c").where("id <> kept_id").select(F.col("id").alias(id_col), "kept_id").distinct()
 
