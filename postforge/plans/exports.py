@@ -18,7 +18,7 @@ from postforge.plans import catalog, serve
 from postforge.plans import queries as Q
 from postforge.session import cut
 
-ORDER = [F.desc("opportunity"), F.desc(F.lower("company_name")), F.desc(F.lower("title")), F.asc("ingest_seq")]
+ORDER = ("opportunity desc", "lower(company_name) desc", "lower(title) desc", "ingest_seq")
 _ORDER_SQL = "opportunity desc, lower(company_name) desc, lower(title) desc, ingest_seq"
 FLAGS = ("saved", "applied", "ignored", "reviewed")
 
@@ -45,10 +45,16 @@ def register(name: str, run, sql: str) -> None:
 # --- rows ----------------------------------------------------------------------------
 
 
-def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+def ordered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Rows sorted by keys written as SQL."""
+    keys = [F.expr(k.removesuffix(" desc")) for k in order]
+    return rows.orderBy(*[k.desc() if text.endswith(" desc") else k.asc() for k, text in zip(keys, order, strict=True)])
+
+
+def numbered(rows: DataFrame, order: tuple[str, ...], name: str = "rank") -> DataFrame:
     """Rows with their place in the order, without gathering them in a task:
     ranges are sorted, each adds the number of rows in the ranges before it."""
-    at = cut(rows.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() % (1 << 33)).alias("__place")))
+    at = cut(ordered(rows, order).select("*", F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() % (1 << 33)).alias("__place")))
     before, starts = 0, []
     for r in at.groupBy("__part").count().orderBy("__part").collect():  # one row for each partition
         starts.append((r["__part"], before))
@@ -173,7 +179,7 @@ def sheet_rows(rows: DataFrame) -> DataFrame:
 register("q_sheets", sheet_rows, "select 'Open Jobs' sheet, ingest_seq from rec where status = 'open' or status = 'likely_open' union all select 'Hidden Gems', ingest_seq from rec where hidden_gem >= 70 union all select 'Coming Soon', ingest_seq from rec where status = 'coming_soon' union all select 'Saved', ingest_seq from rec where saved union all select 'Applied', ingest_seq from rec where applied union all select 'Closed', ingest_seq from rec where status = 'closed' union all select 'All Jobs', ingest_seq from rec")
 
 #: FLT-11: sections of the report: (condition, order, rows). Each is a top-k.
-_FITS = [F.desc(F.col("role_fit") + F.col("technical_depth")), F.desc("opportunity"), *ORDER[1:]]
+_FITS = ("role_fit + technical_depth desc", *ORDER)
 SECTIONS = {
     "Top open": ("status in ('open', 'likely_open')", ORDER, 12),
     "Hidden gems": (f"hidden_gem >= {K.GEM_THRESHOLD}", ORDER, 8),
@@ -184,7 +190,7 @@ SECTIONS = {
 
 
 def sections(rows: DataFrame) -> dict[str, DataFrame]:
-    return {name: rows.where(test).orderBy(*order).limit(n) for name, (test, order, n) in SECTIONS.items()}
+    return {name: ordered(rows.where(test), order).limit(n) for name, (test, order, n) in SECTIONS.items()}
 
 
 def section_rows(rows: DataFrame) -> DataFrame:
