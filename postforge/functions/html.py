@@ -247,8 +247,9 @@ def page_title() -> F.Column:
 def page_class() -> F.Column:
     """HTML-02."""
     low, path = F.lower("text"), F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]*([^?#]*)", 1))
+    titled = F.get(F.transform(F.array(page_title()), is_role_title), 0)  # bound once: the test names it again and again
     detail = _has(path, K.DETAIL_PATHS)
-    return F.when(_has(path, ("/future-opportunities", "/talent-community", "/talentcommunity")), "future").when(detail & is_role_title(page_title()), "detail").when(F.size("blocks") >= 2, "listing").when(_count(low, K.GENERIC_PAGE_TERMS) >= 2, "editorial").otherwise("generic")
+    return F.when(_has(path, ("/future-opportunities", "/talent-community", "/talentcommunity")), "future").when(detail & titled, "detail").when(F.size("blocks") >= 2, "listing").when(_count(low, K.GENERIC_PAGE_TERMS) >= 2, "editorial").otherwise("generic")
 
 
 def description_text(n: int = 6) -> F.Column:
