@@ -136,7 +136,7 @@ def visible(rows: DataFrame) -> DataFrame:
 
 
 register("q_not_demo", lambda rows: visible(rows).select("ingest_seq", "job_id"), "select ingest_seq, job_id from rec where ingest_seq % 23 <> 0")
-register("q_detail", lambda rows: detail(rows, "firm-7-workday-77"), "select * from (" + _SERIAL_SQL + " where ingest_seq % 23 <> 0) where job_id = 'firm-7-workday-77'")
+register("q_detail", lambda rows: detail(rows, "firm-5-github-list-5"), "select * from (" + _SERIAL_SQL + " where ingest_seq % 23 <> 0) where job_id = 'firm-5-github-list-5'")
 
 # --- filters and sections ----------------------------------------------------------------
 
