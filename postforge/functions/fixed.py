@@ -124,6 +124,11 @@ APPLY_TERMS = ("apply", "apply now", "submit application", "apply here", "expres
 NEGATIVE_LINK_TERMS = ("privacy", "terms", "cookies", "blog", "news", "press", "contact", "linkedin", "facebook", "twitter", "instagram", "login", "sign in", "sign-in", "account")
 PAGE_CLOSED_TERMS = ("applications are closed", "position has been filled", "vacancy has been filled", "no longer available", "no longer accepting applications", "job not found", "posting has expired", "this job is closed", "this vacancy has been filled")
 PAGE_SOON_TERMS = ("check back next year", "check back soon", "applications will open", "join our talent community", "join here", "not currently accepting applications")
+# Links of pages, and sites by host (host, path of a listing, path of a posting).
+SECTION_SEGMENTS = ("careers", "search-careers", "career", "jobs", "job", "students-graduates", "students-and-graduates", "student-opportunities", "internships", "programs", "teams", "team", "engineering", "future-opportunities", "talent-community", "recruitment-process", "about")
+DETAIL_WORDS = ("intern", "engineer", "developer", "analyst", "research", "trader")
+APPLY_PATHS = ("/apply", "/application", "/jobs/", "/vacancies/", "/hrt-job/")
+SITES = (("hudsonrivertrading.com", "student-opportunities", "/hrt-job/"), ("gresearch.com", "/teams/engineering", "/vacancies/"), ("imc.com", "/search-careers", "/careers/jobs/"), ("imc.com", "/careers/students-graduates/internships/", "/careers/jobs/"))
 
 # Entity resolution, review, actions.
 SOURCE_PRIORITY = {"greenhouse": 4, "lever": 4, "custom_page": 3, "ats": 3, "other": 2, "github": 1, "list": 1, "search": 1}

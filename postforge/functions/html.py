@@ -7,19 +7,22 @@ choice, status hint, candidates) is column expressions over its output.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postforge.functions import fixed as K
 
 SKIPPED = {"script", "style", "noscript"}
 BLOCKS = {"article", "div", "li", "section", "tr", "td"}
-FACTS = "title string, text string, json_ld array<string>, headings array<string>, anchors array<struct<text:string,href:string>>, items array<string>, blocks array<struct<title:string,href:string,text:string>>"
+FACTS = "title string, text string, json_ld array<string>, headings array<string>, anchors array<struct<text:string,href:string>>, items array<string>, postings array<struct<title:string,body:string,place:string,link:string>>, blocks array<struct<title:string,href:string,text:string,links:array<struct<text:string,href:string>>>>"
 
 
 LISTS = {"ul", "ol"}
@@ -129,7 +132,7 @@ class _Page(HTMLParser):
             low = text.lower()
             if SHORTEST <= len(text) <= LONGEST and any(t in low for t in K.ROLE_TERMS):
                 href = next((h for _, h in block["seeds"] if h), "")
-                self.blocks.append({"title": seeds[0][0], "href": href, "text": text})  # the nearest container takes the seeds
+                self.blocks.append({"title": seeds[0][0], "href": href, "text": text, "links": [{"text": t, "href": h} for t, h in block["seeds"] if h]})  # the nearest container takes the seeds
                 return
         if outer is not None:
             outer["seeds"] += block["seeds"]
@@ -152,16 +155,18 @@ def parse_page(html: str | None, url: str | None = None) -> dict:
     page.feed(html or "")
     page.close()
     squash = lambda parts: " ".join(" ".join(parts).split())
-    return {"title": squash(page.title), "text": squash(page.words), "json_ld": page.ld, "headings": page.headings, "anchors": page.anchors, "items": page.items, "blocks": page.blocks}
+    return {"title": squash(page.title), "text": squash(page.words), "json_ld": page.ld, "headings": page.headings, "anchors": page.anchors, "items": page.items, "postings": ld_postings(page.ld, url or ""), "blocks": page.blocks}
 
 
 def page_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, title, text, json_ld, headings, anchors, items, blocks) of each page."""
+    """(key, url, title, text, json_ld, headings, anchors, items, postings, blocks) of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse_page(h, u) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            kinds = {"title": pa.string(), "text": pa.string(), "json_ld": pa.list_(pa.string()), "headings": pa.list_(pa.string()), "anchors": pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())])), "items": pa.list_(pa.string()), "blocks": pa.list_(pa.struct([("title", pa.string()), ("href", pa.string()), ("text", pa.string())]))}
+            kinds = {"title": pa.string(), "text": pa.string(), "json_ld": pa.list_(pa.string()), "headings": pa.list_(pa.string()), "anchors": pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())])), "items": pa.list_(pa.string())}
+            kinds["postings"] = pa.list_(pa.struct([(n, pa.string()) for n in ("title", "body", "place", "link")]))
+            kinds["blocks"] = pa.list_(pa.struct([("title", pa.string()), ("href", pa.string()), ("text", pa.string()), ("links", kinds["anchors"])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([f[k] for f in found], t) for k, t in kinds.items()]], names=[key, url, *kinds])
 
     return pages.select(key, url, html).mapInArrow(run, f"{key} {dict(pages.dtypes)[key]}, {url} string, {FACTS}")
@@ -178,28 +183,58 @@ def clean_html(texts: DataFrame, column: str, to: str) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + f", `{to}` string")
 
 
-def job_postings(ld: list[str]) -> list[dict]:
-    """JSN-02/03, HTML-08: JobPosting objects of JSON-LD texts, at any depth."""
-    out: list[dict] = []
+def _ld_objects(ld: list[str]) -> Iterator[dict]:
+    """JSN-02: JobPosting objects of JSON-LD texts, in lists and graphs at any depth."""
 
     def walk(x):
         if isinstance(x, list):
             for y in x:
-                walk(y)
+                yield from walk(y)
         elif isinstance(x, dict):
-            kind = x.get("@type")
-            if kind == "JobPosting" or (isinstance(kind, list) and "JobPosting" in kind):
-                place = x.get("jobLocation")
-                address = ((place[0] if isinstance(place, list) and place else place) or {}).get("address") or {}
-                parts = [address.get("addressLocality") or address.get("addressRegion"), address.get("addressCountry")]
-                out.append({"title": x.get("title"), "description": x.get("description"), "location": ", ".join(p for p in parts if isinstance(p, str) and p), "url": x.get("url")})
-            walk(x.get("@graph"))
+            kinds = x.get("@type")
+            if "jobposting" in {str(k).lower() for k in (kinds if isinstance(kinds, list) else [kinds])}:
+                yield x
+            yield from walk(x.get("@graph"))
 
     for text in ld:
         try:
-            walk(json.loads(text))
-        except ValueError:
+            yield from list(walk(json.loads(text)))
+        except (ValueError, RecursionError):
             continue
+
+
+def _address(posting: dict) -> dict:
+    place = posting.get("jobLocation")
+    place = place[0] if isinstance(place, list) and place else place
+    address = place.get("address") if isinstance(place, dict) else None
+    return address if isinstance(address, dict) else {}
+
+
+def job_postings(ld: list[str]) -> list[dict]:
+    """JSN-02/03: JobPosting objects of JSON-LD texts, at any depth."""
+    out = []
+    for x in _ld_objects(ld):
+        address = _address(x)
+        parts = [address.get("addressLocality") or address.get("addressRegion"), address.get("addressCountry")]
+        out.append({"title": x.get("title"), "description": x.get("description"), "location": ", ".join(p for p in parts if isinstance(p, str) and p), "url": x.get("url")})
+    return out
+
+
+def ld_postings(ld: list[str], page_url: str) -> list[dict]:
+    """HTML-08: (title, body, place, link) of structured postings. The place is
+    the locality, else region and country; bodies are freed of markup; links
+    are made absolute, without one the page's own stands."""
+    squash = lambda v: " ".join(str("" if v is None else v).split())
+    out = []
+    for x in _ld_objects(ld):
+        address = _address(x)
+        place = squash(address.get("addressLocality")) or ", ".join(v for v in (squash(address.get(k)) for k in ("addressRegion", "addressCountry")) if v)
+        body = parse_page(x["description"])["text"] if isinstance(x.get("description"), str) else ""
+        try:
+            link = urldefrag(urljoin(page_url, squash(x.get("url")) or page_url))[0]
+        except ValueError:
+            link = page_url
+        out.append({"title": squash(x.get("title")), "body": body, "place": place or None, "link": link})
     return out
 
 
@@ -274,16 +309,168 @@ def location_text(c) -> F.Column:
     return out
 
 
+def url_path(c) -> F.Column:
+    """Lower-cased path of an absolute URL, else empty."""
+    return F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+
+
+def url_host(c) -> F.Column:
+    return F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
+def _last_segment(c) -> F.Column:
+    return F.coalesce(F.try_element_at(F.filter(F.split(url_path(c), "/"), lambda x: x != ""), F.lit(-1)), F.lit(""))
+
+
+def is_generic_url(c) -> F.Column:
+    """A bare domain, or a path that ends in a section of a site."""
+    last = _last_segment(c)
+    return (last == "") | last.isin(*K.SECTION_SEGMENTS)
+
+
+def is_detail_url(c) -> F.Column:
+    """A path of postings, or a last segment with a word of a role that is no section."""
+    last = _last_segment(c)
+    return _has(F.lower(c), K.DETAIL_PATHS) | (~last.isin(*K.SECTION_SEGMENTS) & _has(last, K.DETAIL_WORDS))
+
+
+def role_specific(c, hint, careers_url, website) -> F.Column:
+    """URL-10: a link that may stand for one role: not generic, nor the firm's
+    careers page (unless that looks like a posting) or home page. What is
+    coming soon or closed may point anywhere; an empty link never passes."""
+    bare = lambda u: F.lower(F.regexp_replace(F.coalesce(u, F.lit("")), "/+$", ""))
+    careers = (bare(careers_url) != "") & (bare(c) == bare(careers_url)) & ~is_detail_url(c)
+    home = (bare(website) != "") & (bare(c) == bare(website))
+    waiting = F.coalesce(hint.isin("coming_soon", "closed"), F.lit(False))
+    return (F.trim(F.coalesce(c, F.lit(""))) != "") & (waiting | (~is_generic_url(c) & ~careers & ~home))
+
+
+def season_hint(c) -> F.Column:
+    """STR-13: season and year; else the first year, if the text speaks of interns."""
+    season = F.regexp_extract(c, r"(?i)(?:^|[^\w])((?:summer|winter|fall|spring)[ \t\r\n]+20[0-9]{2})(?:$|[^\w])", 1)
+    year = F.regexp_extract(c, r"(?:^|[^\w])(20[0-9]{2})(?:$|[^\w])", 1)
+    return F.when(season != "", F.regexp_replace(season, r"[ \t\r\n]+", " ")).when((year != "") & F.contains(F.lower(c), F.lit("intern")), year)
+
+
+def is_marketing(c) -> F.Column:
+    """STR-11, of titles."""
+    low = F.lower(F.trim(c))
+    starts = F.lit(False)
+    for p in K.MARKETING_PREFIXES:
+        starts = starts | F.startswith(low, F.lit(p))
+    return low.isin(*K.EXACT_GENERIC_TITLES) | starts | _has(low, K.GENERIC_PAGE_TERMS) | ((F.size(F.split(low, r"\s+")) >= 11) & ~_has(low, K.ROLE_TERMS))
+
+
+def is_editorial(c) -> F.Column:
+    """STR-11, of blocks."""
+    low = F.lower(c)
+    return ((_count(low, K.GENERIC_PAGE_TERMS) >= 2) & (_count(low, K.ROLE_TERMS) <= 1)) | _has(low, ("tech blog", "follow us"))
+
+
+def site_segment(c) -> F.Column:
+    """HTML-11: the path of postings on a known site; null on others."""
+    out = F.lit(None).cast("string")
+    for host, _, segment in reversed(K.SITES):
+        out = F.when(F.contains(url_host(c), F.lit(host)), segment).otherwise(out)
+    return out
+
+
+def page_kind() -> F.Column:
+    """HTML-15: on known sites the path says what a page is, elsewhere its class."""
+    out = page_class()
+    for host in sorted({s[0] for s in K.SITES}):
+        out = F.when(F.contains(url_host("url"), F.lit(host)), "generic").otherwise(out)
+    for host, listing, segment in reversed(K.SITES):
+        here = F.contains(url_host("url"), F.lit(host))
+        out = F.when(here & F.contains(url_path("url"), F.lit(listing)), "listing").when(here & F.contains(url_path("url"), F.lit(segment)), "detail").otherwise(out)
+    return out
+
+
+def role_link(links, preferred) -> F.Column:
+    """HTML-04: the link with the best score, the first of equals; null if none will do."""
+
+    def score(a):
+        at_site = F.coalesce(F.contains(url_path(a["href"]), preferred), F.lit(False))
+        marks = ((at_site, 5), (is_detail_url(a["href"]), 4), (is_role_title(a["text"]), 3), (_has(F.lower(a["text"]), K.APPLY_TERMS), -1))
+        return sum((F.when(test, n).otherwise(0) for test, n in marks), F.lit(0))
+
+    usable = F.filter(links, lambda a: (a["href"] != "") & ~_has(F.lower(a["href"]), K.NEGATIVE_LINK_TERMS))
+    scored = F.transform(usable, lambda a, i: F.struct(score(a).alias("s"), (-i).alias("i"), a["href"].alias("href")))
+    return F.array_max(F.filter(scored, lambda x: x["s"] >= 0))["href"]
+
+
+def apply_link(links, page_url) -> F.Column:
+    """HTML-05: the first link that speaks of applying and leads to one place
+    for it: on another host, or under a path of applications."""
+
+    def explicit(href):
+        elsewhere = url_host(href) != url_host(page_url)
+        return href.rlike("(?i)^https?://") & ~is_generic_url(href) & (elsewhere | _has(url_path(href), K.APPLY_PATHS))
+
+    named = lambda a: _has(F.lower(F.concat_ws(" ", a["text"], a["href"])), K.APPLY_TERMS)
+    return F.get(F.filter(links, lambda a: (a["href"] != "") & named(a) & explicit(a["href"])), 0)["href"]
+
+
+def _words(text: str) -> set[str]:
+    return {w for w in re.split("[^a-z0-9]+", text.lower()) if w and w not in K.STOPWORDS and not re.fullmatch("20[0-9]{2}", w)}
+
+
+def match_cards(titles: list[str], links: list[str | None], anchors: list[dict]) -> list[str | None]:
+    """HTML-10: cards without a link of their own take, in order, the first free
+    anchor whose text holds the title, else the one that shares most of its
+    words (0.45 of the larger set at least); an anchor serves once."""
+    free = list({a["href"]: a["text"] for a in reversed(anchors)}.items())[::-1]  # of one link the first text
+    out = []
+    for title, link in zip(titles, links, strict=True):
+        if link is None and title.strip():
+            low, words = title.lower().strip(), _words(title)
+            at = next((i for i, (_, text) in enumerate(free) if low in text.lower()), None)
+            if at is None and words:
+                shared = [len(words & other) if other and len(words & other) >= 0.45 * max(len(words), len(other)) else 0 for other in (_words(text) for _, text in free)]
+                at = shared.index(max(shared)) if any(shared) else None
+            link = None if at is None else free.pop(at)[0]
+        out.append(link)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def paired(titles: pd.Series, links: pd.Series, anchors: pd.Series) -> pd.Series:
+    """``match_cards`` of each page."""
+    return pd.Series([match_cards(list(t), list(k), list(a)) for t, k, a in zip(titles, links, anchors, strict=True)], dtype=object)
+
+
+def _listed(pages: DataFrame, key: str) -> DataFrame:
+    """HTML-09/10: cards of listing pages, each with the link that is its own."""
+    segment = site_segment("url")
+    valid = lambda b: is_role_title(b["title"]) & ~is_marketing(b["title"]) & ~is_editorial(b["text"])
+    card = lambda b: F.struct(b["title"].alias("title"), b["text"].alias("body"), role_link(b["links"], segment).alias("link"), apply_link(b["links"], F.col("url")).alias("apply_url"))
+    cards = pages.where("kind = 'listing'").select(key, "url", "hint", "kind", "anchors", F.transform(F.filter("blocks", valid), card).alias("cards")).where("size(cards) > 0")
+    path = lambda a: url_path(a["href"])
+    detail = lambda a: F.coalesce(F.contains(path(a), segment), F.lit(False)) | is_detail_url(a["href"])
+    own = F.filter("anchors", lambda a: detail(a) & (path(a) != "") & (path(a) != url_path("url")) & ~path(a).rlike("/apply/?$") & ~_has(path(a), K.NEGATIVE_LINK_TERMS))
+    linked = cards.withColumn("links", paired("cards.title", "cards.link", own))
+    rows = linked.select(key, "url", "hint", "kind", F.posexplode(F.arrays_zip("cards", "links")).alias("pos", "x"))
+    found, card = F.col("x.links"), F.col("x.cards")
+    return rows.select(key, card["title"].alias("title"), F.coalesce(found, "url").alias("link"), card["apply_url"].alias("apply_url"), card["body"].alias("body"), F.coalesce(status_hint(card["body"]), "hint").alias("hint"), "kind", F.when(found.isNotNull(), 0.8).otherwise(0.72).alias("confidence"), F.lit(None).cast("string").alias("place"), F.lit("card").alias("origin"), "pos")
+
+
 def candidates(facts: DataFrame, key: str = "page_id") -> DataFrame:
-    """HTML-09/14/16/18: role candidates of each page, one per folded title and
-    link, with a provenance payload; listing pages by block, detail pages whole."""
-    pages = facts.withColumns({"kind": page_class(), "best": page_title(), "hint": status_hint("text")})
-    whole = pages.where("kind = 'detail'").select(key, F.col("best").alias("title"), F.col("url").alias("link"), description_text().alias("body"), "hint", "kind", F.lit(0.9).alias("confidence"), F.lit(0).alias("pos"))
-    listed = pages.where("kind = 'listing'").select(key, "url", "hint", "kind", F.posexplode("blocks").alias("pos", "b")).where(is_role_title(F.col("b.title")))
-    listed = listed.select(key, F.col("b.title").alias("title"), F.when(F.col("b.href") != "", F.col("b.href")).otherwise(F.col("url")).alias("link"), F.col("b.text").alias("body"), "hint", "kind", F.when(F.col("b.href") != "", 0.8).otherwise(0.72).alias("confidence"), "pos")
-    both = whole.unionByName(listed)
-    first = both.groupBy(key, F.lower("title").alias("k"), "link").agg(F.min_by(F.struct("title", "body", "hint", "kind", "confidence", "pos"), "pos").alias("c"))
-    return first.select(key, "c.title", "link", "c.body", "c.hint", "c.kind", "c.confidence", location_text("c.body").alias("location"), F.to_json(F.struct(F.col("c.kind").alias("page_class"), F.col("c.confidence").alias("confidence"), F.col("link"))).alias("payload"))
+    """HTML-08/09/14/15/16/18: role candidates of each page, one per folded title
+    and link, with a provenance payload. Listing pages give a candidate a card;
+    detail pages their structured postings, or without any the page itself
+    (known sites always the page); other pages none."""
+    pages = facts.withColumns({"kind": page_kind(), "best": page_title(), "hint": status_hint("text"), "page_apply": apply_link(F.col("anchors"), F.col("url"))})
+    pages = pages.withColumn("found", F.when(site_segment("url").isNull(), F.filter("postings", lambda p: is_role_title(p["title"]))).otherwise(F.filter("postings", lambda p: F.lit(False))))
+    details = pages.where("kind = 'detail'")
+    whole = details.where("size(found) = 0").select(key, F.col("best").alias("title"), F.col("url").alias("link"), F.col("page_apply").alias("apply_url"), description_text().alias("body"), "hint", "kind", F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("place"), F.lit("page").alias("origin"), F.lit(0).alias("pos"))
+    structured = details.select(key, "text", "kind", "page_apply", F.posexplode("found").alias("pos", "p"))
+    text = F.coalesce(F.nullif("p.body", F.lit("")), "text")
+    structured = structured.select(key, "p.title", "p.link", F.col("page_apply").alias("apply_url"), text.alias("body"), status_hint(text).alias("hint"), "kind", F.lit(0.97).alias("confidence"), "p.place", F.lit("structured_data").alias("origin"), "pos")
+    both = whole.unionByName(structured).unionByName(_listed(pages, key))
+    kept = ("title", "apply_url", "body", "hint", "kind", "confidence", "place", "origin", "pos")
+    first = both.groupBy(key, F.lower("title").alias("k"), "link").agg(F.min_by(F.struct(*kept), "pos").alias("c"))
+    payload = F.to_json(F.struct(F.col("c.kind").alias("page_class"), F.col("c.confidence").alias("confidence"), F.col("link"), F.col("c.origin").alias("extracted_from"), F.coalesce("c.hint", F.lit("unknown")).alias("status_hint"), season_hint(F.col("c.body")).alias("season_hint")))
+    return first.select(key, "c.title", "link", "c.apply_url", "c.body", "c.hint", "c.kind", "c.confidence", F.coalesce("c.place", location_text("c.body")).alias("location"), season_hint(F.col("c.body")).alias("season"), payload.alias("payload"))
 
 
 def verified(found: DataFrame, facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from postforge.functions import fixed as K
 from postforge.functions import html as H
 from postforge.plans import catalog
 from postforge.sources import pack, payloads
@@ -19,6 +20,18 @@ catalog.register(
 catalog.register("q_html_text_exact", lambda s, d: H.page_facts(table(s, d, "pages")).select("page_id", F.length("text").cast("long").alias("n"), F.sha1("text").alias("h")))
 catalog.register("q_html_blocks", lambda s, d: H.page_facts(table(s, d, "pages")).select("page_id", H.page_class().alias("kind"), H.page_title().alias("best"), F.size("blocks").cast("long").alias("blocks")))
 catalog.register("q_html_candidates", lambda s, d: H.candidates(H.page_facts(table(s, d, "pages"))))
+catalog.register("q_html_structured", lambda s, d: H.page_facts(table(s, d, "pages")).select("page_id", F.explode("postings").alias("p")).select("page_id", "p.*"))
+
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+_any = lambda c, words: f"list_bool_or([contains({c}, w) for w in [{_quoted(words)}]])"
+catalog.register(
+    "q_link_kinds",
+    lambda s, d: table(s, d, "pages").select("page_id", H.is_generic_url("url").alias("generic"), H.is_detail_url("url").alias("detail"), H.role_specific(F.col("url"), F.lit("unknown"), F.col("url"), F.lit(None)).alias("specific")),
+    f"""with p as (select page_id, lower(url) u, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)) path from pages),
+    q as (select page_id, u, coalesce(list_filter(string_split(path, '/'), lambda x: x <> '')[-1], '') last from p),
+    r as (select page_id, u, last = '' or last in ({_quoted(K.SECTION_SEGMENTS)}) as generic, {_any('u', K.DETAIL_PATHS)} or (last not in ({_quoted(K.SECTION_SEGMENTS)}) and {_any('last', K.DETAIL_WORDS)}) as detail from q)
+    select page_id, generic, detail, not generic and detail as specific from r""",
+)
 
 PAYLOADS = {
     "greenhouse": {"jobs": [{"id": 11, "title": "FPGA Intern", "absolute_url": "https://boards.greenhouse.io/acme/jobs/11", "location": {"name": "London"}, "departments": [{"name": "Tech"}, {"name": "HW"}], "content": "Apply now", "updated_at": "2026-08-01T10:00:00Z"}, {"id": 12, "title": " ", "location": None, "departments": [], "updated_at": "bad"}]},

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postforge.dialect import DUCK, SPARK
 from postforge.functions import fixed as K
 from postforge.functions import rules as R
-from postforge.operators import discovery, resolve, state
+from postforge.operators import discovery, resolve, runs, state
 from postforge.plans import catalog, postings, serve
-from postforge.session import table
+from postforge.session import checkpoint_dir, table
 
 jobs, jobs_sql, normalized_sql = postings.jobs, postings.jobs_sql, postings.normalized_sql
 
@@ -278,6 +280,17 @@ def _runs(spark, sf_dir):
 _RUNS_SQL = f"e as (select user_id::varchar job_id, event_type status, value, ts, event_id from events), o as (select job_id, arg_max(status, event_id) status, arg_max(value, event_id) v, arg_max(ts, event_id) first_seen from e where ts < {RUN_CUT} group by 1), i as (select job_id, arg_max(status, event_id) status, arg_max(value, event_id) v, arg_max(ts, event_id) first_seen from e where ts >= {RUN_CUT} group by 1), m as (select coalesce(i.job_id, o.job_id) job_id, case when i.job_id is null then o.status else i.status end status, case when i.job_id is null then o.first_seen else least(i.first_seen, o.first_seen) end first_seen, case when o.job_id is null then 'I' when i.job_id is null then 'K' else 'U' end as merge, coalesce(o.job_id is not null and i.job_id is not null and (o.status <> i.status or o.v <> i.v), false) changed from i full join o on i.job_id = o.job_id)"
 catalog.register("q_merge_changes", lambda s, d: state.merge_runs(*_runs(s, d)).select("job_id", "status", "first_seen", "merge", "changed"), f"with {_RUNS_SQL} select * from m")
 catalog.register("q_run_metrics", lambda s, d: state.merge_runs(*_runs(s, d)).agg(F.count_if(F.col("merge") == "I").alias("inserted"), F.count_if(F.col("merge") == "U").alias("updated"), F.count_if("changed").alias("changed"), F.count_if(F.col("merge") == "K").alias("kept")), f"with {_RUNS_SQL} select count(*) filter (merge = 'I') inserted, count(*) filter (merge = 'U') updated, count(*) filter (changed) changed, count(*) filter (merge = 'K') kept from m")
+
+
+def stored_runs(spark, sf_dir):
+    """Both halves of the events written as runs of one store, then its postings."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    for run in _runs(spark, sf_dir):
+        runs.write_run(run, path, "pack", "test")
+    return runs.jobs(spark, path).select("job_id", "status", "first_seen")
+
+
+catalog.register("q_stored_runs", stored_runs, f"with {_RUNS_SQL} select job_id, status, first_seen from m")
 catalog.register("q_first_last_seen", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("sightings")), "select user_id, min(ts) first_seen, max(ts) last_seen, count(*) sightings from events group by 1")
 catalog.register("q_latest_run", lambda s, d: table(s, d, "events").orderBy(F.desc("event_id")).limit(1).select("event_id", "event_type"), "select event_id, event_type from events order by event_id desc limit 1")
 catalog.register("q_lookup_ids", lambda s, d: table(s, d, "events").where(F.col("event_id").isin(1, 7, 77, 777)).select("event_id", "user_id", "event_type"), "select event_id, user_id, event_type from events where event_id in (1, 7, 77, 777)")
