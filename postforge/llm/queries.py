@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postforge.llm import decontam, language, licenses, lines, lm, packing, simhash, substrings, urls, vectors
+from postforge.llm import audit, decontam, language, licenses, lines, lm, packing, quality, ranked, simhash, substrings, urls, vectors
 from postforge.session import table
 
 
@@ -56,6 +56,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.is_held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -67,6 +80,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_quality": op13_quality,
 }
 
 _GAP = decontam.GAP
@@ -121,4 +137,37 @@ x as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) i from d),
 k as (select x.doc_id, count(*) n, count(g.i) r, string_agg(word, ' ' order by x.i) filter (g.i is null) t
   from x left join g on g.doc_id = x.doc_id and g.i = x.i group by x.doc_id)
 select doc_id, coalesce(n, 0)::bigint n_words, coalesce(r, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)""",
+    # masks, all orders of five letters by recursion, and a plain sum over orders for the Shapley figure
+    "op11_filter_audit": rf"""
+with recursive d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda w: w <> '') w from documents),
+f as (select doc_id, part, (len(w) < 100)::int a, (100 * len(list_distinct(w)) < 80 * len(w))::int b,
+    (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int c, regexp_matches(t, '[#$%&*|]')::int d,
+    coalesce(doc_id > min(doc_id) over (partition by t), false)::int e from d),
+l as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+m as (select part, a + 2 * b + 4 * c + 8 * d + 16 * e mask, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic
+  from f left join l using (doc_id) group by 1, 2),
+o as (select '' s union all select s || x from o, (select unnest(['A', 'B', 'C', 'D', 'E']) x) where not contains(s, x)),
+p as (select s, unnest(range(1, 6)) step from o where length(s) = 5),
+q as (select s, step, (1 << (ascii(s[step]) - 65)) own,
+    list_sum([0] || list_transform(string_split(s[1:step - 1], ''), lambda x: case when x = '' then 0 else 1 << (ascii(x) - 65) end))::int earlier from p),
+r as (select part, s filter_order, step::int step, own,
+    sum(n) filter (mask & (own | earlier) = 0) kept, sum(n) filter (mask & own <> 0 and mask & earlier = 0) removed,
+    sum(n) filter (mask & own <> 0 and mask & earlier <> 0) redundant, sum(n) filter (mask = own) unique_fails,
+    sum(good) filter (mask & own <> 0 and mask & earlier = 0) good_lost, sum(toxic) filter (mask & own <> 0 and mask & earlier = 0) toxic_lost
+  from m cross join q group by part, s, step, own)
+select part, filter_order, step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed, coalesce(redundant, 0)::bigint redundant,
+  coalesce(unique_fails, 0)::bigint unique_fails, coalesce(good_lost, 0)::bigint good_lost, coalesce(toxic_lost, 0)::bigint toxic_lost,
+  coalesce(sum(removed) over (partition by part, own), 0)::bigint shapley from r""",
+    # every posting of every item's terms, summed and ranked
+    "op12_ranked_search": rf"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{ranked.GAP}'), lambda w: w <> '') w from documents),
+s as (select count(*) filter (len(w) > 0)::bigint total, sum(len(w))::bigint words from d),
+i as (select item_id, term, count(*) k from (select item_id, unnest(list_filter(regexp_split_to_array(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{ranked.GAP}'), lambda w: w <> '')) term from benchmark) group by all),
+t as (select doc_id, len(w)::bigint n, term, count(*)::bigint tf from (select doc_id, w, unnest(w) term from d) where term in (select term from i) group by all),
+f as (select term, floor(1000 * ln((2 * total + 2)::double / (2 * count(*) + 1)))::bigint w from t, s group by term, total),
+x as (select item_id, doc_id, sum(k * f.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total) // words))))::bigint score
+  from i join t using (term) join f using (term), s group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from x where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 20""",
 }
