@@ -77,13 +77,13 @@ def unpack(data: bytes) -> np.ndarray:
 
 # --- shards -----------------------------------------------------------------------
 
-_SHARD = "docs long, terms long, ids binary, lengths binary, vocabulary array<int>, counts array<long>, gaps binary, frequencies binary"
+_SHARD = "docs long, terms long, named long, ids binary, lengths binary, vocabulary array<int>, counts array<long>, gaps binary, frequencies binary"
 
 
-def _shard(ids: list[int], lengths: list[int], docs: list[np.ndarray], found: list[np.ndarray], unnamed: tuple[int, int]) -> pa.RecordBatch:
-    """Postings of documents in any order: (document, term) pairs with repeats."""
-    own, n = np.array(ids, np.int64), np.array(lengths, np.int64)
-    order = np.argsort(own, kind="stable")
+def _shard(ids: list[int | None], lengths: list[int], docs: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+    """Postings of documents in any order: (document, term) pairs with repeats. Documents without an id come last."""
+    own, unnamed, n = np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool), np.array(lengths, np.int64)
+    order = np.lexsort((own, unnamed))
     rank = np.empty(len(own), np.int64)
     rank[order] = np.arange(len(own))
     doc, term = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int64), *found])
@@ -93,8 +93,9 @@ def _shard(ids: list[int], lengths: list[int], docs: list[np.ndarray], found: li
     gaps = np.diff(doc, prepend=0)
     gaps[first] = doc[first]
     columns = [
-        pa.array([int((n > 0).sum()) + unnamed[0]], pa.int64()),
-        pa.array([int(n.sum()) + unnamed[1]], pa.int64()),
+        pa.array([int((n > 0).sum())], pa.int64()),
+        pa.array([int(n.sum())], pa.int64()),
+        pa.array([int((~unnamed).sum())], pa.int64()),
         pa.array([own[order].astype("<i8").tobytes()], pa.binary()),
         pa.array([pack(n[order])], pa.binary()),
         pa.array([vocabulary.tolist()], pa.list_(pa.int32())),
@@ -102,7 +103,7 @@ def _shard(ids: list[int], lengths: list[int], docs: list[np.ndarray], found: li
         pa.array([pack(gaps)], pa.binary()),
         pa.array([pack(tf)], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["docs", "terms", "ids", "lengths", "vocabulary", "counts", "gaps", "frequencies"])
+    return pa.RecordBatch.from_arrays(columns, names=["docs", "terms", "named", "ids", "lengths", "vocabulary", "counts", "gaps", "frequencies"])
 
 
 def _index(shared, most: int):
@@ -110,13 +111,10 @@ def _index(shared, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
-        ids, lengths, docs, found, size, unnamed = [], [], [], [], 0, [0, 0]
+        ids, lengths, docs, found, size = [], [], [], [], 0
         for batch in batches:
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = terms(text.as_py() or b"")
-                if own is None:
-                    unnamed = [unnamed[0] + bool(words), unnamed[1] + len(words)]
-                    continue
                 known = np.array([x for x in map(number.get, words) if x is not None], np.int64)
                 docs.append(np.full(len(known), len(ids), np.int64))
                 found.append(known)
@@ -124,10 +122,10 @@ def _index(shared, most: int):
                 lengths.append(len(words))
                 size += len(words)
                 if size >= most:
-                    yield _shard(ids, lengths, docs, found, tuple(unnamed))
-                    ids, lengths, docs, found, size, unnamed = [], [], [], [], 0, [0, 0]
-        if ids or any(unnamed):
-            yield _shard(ids, lengths, docs, found, tuple(unnamed))
+                    yield _shard(ids, lengths, docs, found)
+                    ids, lengths, docs, found, size = [], [], [], [], 0
+        if ids:
+            yield _shard(ids, lengths, docs, found)
 
     return run
 
@@ -146,7 +144,7 @@ class Postings:
         before = np.where(begins > 0, run[begins - 1], 0) if len(counts) else begins
         docs = run - np.repeat(before, counts)
         term = np.array(row["vocabulary"], np.int64)
-        adds = np.repeat(weights[term], counts) * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[docs]))
+        adds = np.where(docs < row["named"], np.repeat(weights[term], counts) * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[docs])), 0)
         best = np.maximum.reduceat(adds, begins) if len(counts) else counts
         self.lists = {t: (docs[a:b], adds[a:b], top) for t, a, b, top in zip(term.tolist(), begins.tolist(), ends.tolist(), best.tolist(), strict=True)}
 

@@ -79,7 +79,7 @@ def test_search_of_one_shard_in_small_chunks(monkeypatch, chunk):
         n = int(rng.integers(1, 300))
         doc, term = rng.integers(0, n, 4 * n), rng.integers(0, 12, 4 * n)
         ids = (rng.permutation(n) * 3).tolist()
-        shard = ranked._shard(ids, rng.integers(1, 50, n).tolist(), [doc], [term], (0, 0)).to_pylist()[0]
+        shard = ranked._shard(ids, rng.integers(1, 50, n).tolist(), [doc], [term]).to_pylist()[0]
         weights = rng.integers(0, 9000, 12)
         postings = ranked.Postings(shard, weights, n, 25 * n)
         query = [(t, int(rng.integers(1, 3))) for t in range(14) if rng.random() < 0.6]
