@@ -27,7 +27,9 @@ DIMS = 16
 GRAMS = (2, 3, 4)
 #: Labelled documents of each label that the model is fitted on at most, those of the smallest id hashes, and their bytes.
 SAMPLE, SAMPLE_BYTES = 2000, 16 << 20
-EPOCHS, RATE = 8, 0.1
+RATE = 0.1
+#: Passes over the sample: as many as make STEPS, within these.
+EPOCHS, STEPS = (8, 200), 20_000
 #: Shares are about 1 / features: the steps of vectors are scaled by the number of features, up to this.
 SCALED = 300
 #: Characters whose features are taken together; longer texts are cut there, and no n-gram spans the cut.
@@ -104,8 +106,9 @@ def score(table: np.ndarray, offset: float, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(offset + added / max(n, 1), -500, 500))))
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE) -> QualityModel:
+def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int | None = None, rate: float = RATE) -> QualityModel:
     """Gradient descent, one (label, buckets, shares) at a time, in an order drawn anew each epoch."""
+    epochs = epochs or min(max(EPOCHS[0], STEPS // max(1, len(examples))), EPOCHS[1])
     rng = np.random.default_rng(5)
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (1 << BUCKET_BITS, DIMS)).astype(np.float32)
     output, offset = np.zeros((2, DIMS), np.float32), np.zeros(2, np.float32)

@@ -53,9 +53,13 @@ def test_features_against_loops():
 
 
 def test_a_step_follows_the_gradient():
-    """One document: the loss after a small step is what the gradient of a plain softmax foretells."""
+    """The first step against plain sums; many steps tell two texts apart."""
     at, share = quality.counts("a few plain words")
-    model = quality.train([(1, at, share), (0, *quality.counts("OTHER!! WORDS!!"))], epochs=40)
+    begun, after = (quality.train([(1, at, share)], epochs=1, rate=r) for r in (0.0, 0.1))
+    hidden = [sum(float(s) * float(begun.vectors[i, d]) for i, s in zip(at, share, strict=True)) for d in range(quality.DIMS)]
+    assert np.allclose(after.output, [[-0.05 * h for h in hidden], [0.05 * h for h in hidden]], atol=1e-6)
+    assert np.allclose(after.offset, [-0.05, 0.05]) and np.array_equal(after.vectors, begun.vectors)  # the output layer begins at nought
+    model = quality.train([(1, at, share), (0, *quality.counts("OTHER!! WORDS!!"))], epochs=2000)
     assert model.score("a few plain words") > 0.9 > 0.1 > model.score("OTHER!! WORDS!!")
     hidden = share @ model.vectors[at]
     z = model.output @ hidden + model.offset
