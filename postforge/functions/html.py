@@ -242,22 +242,29 @@ def ld_postings(ld: list[str], page_url: str) -> list[dict]:
 
 
 def _has(c, terms) -> F.Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(c, F.lit(t))
-    return out
+    """Any of the terms, as one pattern: plans stay small, however many terms there are."""
+    return F.rlike(c, F.lit("|".join(re.escape(t) for t in terms)))
+
+
+def _texts(values) -> F.Column:
+    """An array of fixed texts, as one expression."""
+    return F.expr("array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")")
+
+
+def _begins(c, prefixes) -> F.Column:
+    return F.rlike(c, F.lit("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"))
 
 
 def _count(c, terms) -> F.Column:
-    return sum((F.when(F.contains(c, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
+    """How many of the terms stand in the text, which is worked out once."""
+    held = _texts(terms)
+    return F.get(F.transform(F.array(c), lambda x: F.size(F.filter(held, lambda t: F.contains(x, t)))), 0)
 
 
 def is_role_title(c) -> F.Column:
     """STR-10."""
     low = F.lower(F.trim(c))
-    starts = F.lit(False)
-    for p in K.MARKETING_PREFIXES:
-        starts = starts | F.startswith(low, F.lit(p))
+    starts = _begins(low, K.MARKETING_PREFIXES)
     return (low != "") & ~low.isin(*K.EXACT_GENERIC_TITLES) & ~starts & ~_has(low, K.GENERIC_PAGE_TERMS) & (F.size(F.split(low, r"\s+")) <= 12) & _has(low, K.ROLE_TERMS)
 
 
@@ -292,21 +299,22 @@ def description_text(n: int = 6) -> F.Column:
     return F.array_join(F.slice(F.filter("items", lambda x: (F.length(x) >= 20) & ~_has(F.lower(x), K.NEGATIVE_LINK_TERMS)), 1, n), " ")
 
 
+def title_words(c) -> F.Column:
+    """STR-08: the distinct words of a title, stop words and years aside."""
+    return F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: (w != "") & ~w.isin(*K.STOPWORDS) & ~w.rlike("^20[0-9]{2}$"))
+
+
 def token_overlap(a, b) -> F.Column:
-    """STR-08: common words over the larger set, stop words and years aside."""
-    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: (w != "") & ~w.isin(*K.STOPWORDS) & ~w.rlike("^20[0-9]{2}$"))
-    x, y = words(a), words(b)
+    """STR-08: common words over the larger set."""
+    x, y = title_words(a), title_words(b)
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
 
 
 def location_text(c) -> F.Column:
     """STR-12: the first known place named in the text."""
-    out = None
-    for t in K.LOCATION_TOKENS:
-        label = "New York, NY" if t in ("new york, ny", "nyc", "new york city", "new york") else "Chicago, IL" if t.startswith("chicago") else t.title()
-        test = F.contains(F.lower(c), F.lit(t))
-        out = F.when(test, label) if out is None else out.when(test, label)
-    return out
+    label = lambda t: "New York, NY" if t in ("new york, ny", "nyc", "new york city", "new york") else "Chicago, IL" if t.startswith("chicago") else t.title()
+    known = F.arrays_zip(_texts(K.LOCATION_TOKENS).alias("t"), _texts([label(t) for t in K.LOCATION_TOKENS]).alias("label"))
+    return F.get(F.transform(F.array(F.lower(c)), lambda low: F.get(F.filter(known, lambda k: F.contains(low, k["t"])), 0)["label"]), 0)
 
 
 def url_path(c) -> F.Column:
@@ -355,9 +363,7 @@ def season_hint(c) -> F.Column:
 def is_marketing(c) -> F.Column:
     """STR-11, of titles."""
     low = F.lower(F.trim(c))
-    starts = F.lit(False)
-    for p in K.MARKETING_PREFIXES:
-        starts = starts | F.startswith(low, F.lit(p))
+    starts = _begins(low, K.MARKETING_PREFIXES)
     return low.isin(*K.EXACT_GENERIC_TITLES) | starts | _has(low, K.GENERIC_PAGE_TERMS) | ((F.size(F.split(low, r"\s+")) >= 11) & ~_has(low, K.ROLE_TERMS))
 
 
@@ -451,12 +457,12 @@ def _listed(pages: DataFrame, key: str) -> DataFrame:
     linked = cards.withColumn("links", paired("cards.title", "cards.link", own))
     rows = linked.select(key, "url", "hint", "kind", F.posexplode(F.arrays_zip("cards", "links")).alias("pos", "x"))
     found, card = F.col("x.links"), F.col("x.cards")
-    return rows.select(key, card["title"].alias("title"), F.coalesce(found, "url").alias("link"), card["apply_url"].alias("apply_url"), card["body"].alias("body"), F.coalesce(status_hint(card["body"]), "hint").alias("hint"), "kind", F.when(found.isNotNull(), 0.8).otherwise(0.72).alias("confidence"), F.lit(None).cast("string").alias("place"), F.lit("card").alias("origin"), "pos")
+    return rows.select(key, card["title"].alias("title"), F.coalesce(found, "url").alias("link"), card["apply_url"].alias("apply_url"), card["body"].alias("body"), status_hint(card["body"]).alias("hint"), "kind", F.when(found.isNotNull(), 0.8).otherwise(0.72).alias("confidence"), F.lit(None).cast("string").alias("place"), F.lit("card").alias("origin"), "pos")
 
 
 def candidates(facts: DataFrame, key: str = "page_id") -> DataFrame:
     """HTML-08/09/14/15/16/18: role candidates of each page, one per folded title
-    and link, with a provenance payload. Listing pages give a candidate a card;
+    and link, in the order ``pos`` of the page, with a provenance payload. Listing pages give a candidate a card;
     detail pages their structured postings, or without any the page itself
     (known sites always the page); other pages none."""
     pages = facts.withColumns({"kind": page_kind(), "best": page_title(), "hint": status_hint("text"), "page_apply": apply_link(F.col("anchors"), F.col("url"))})
@@ -470,7 +476,7 @@ def candidates(facts: DataFrame, key: str = "page_id") -> DataFrame:
     kept = ("title", "apply_url", "body", "hint", "kind", "confidence", "place", "origin", "pos")
     first = both.groupBy(key, F.lower("title").alias("k"), "link").agg(F.min_by(F.struct(*kept), "pos").alias("c"))
     payload = F.to_json(F.struct(F.col("c.kind").alias("page_class"), F.col("c.confidence").alias("confidence"), F.col("link"), F.col("c.origin").alias("extracted_from"), F.coalesce("c.hint", F.lit("unknown")).alias("status_hint"), season_hint(F.col("c.body")).alias("season_hint")))
-    return first.select(key, "c.title", "link", "c.apply_url", "c.body", "c.hint", "c.kind", "c.confidence", F.coalesce("c.place", location_text("c.body")).alias("location"), season_hint(F.col("c.body")).alias("season"), payload.alias("payload"))
+    return first.select(key, "c.title", "link", "c.apply_url", "c.body", "c.hint", "c.kind", "c.confidence", F.coalesce("c.place", location_text("c.body")).alias("location"), season_hint(F.col("c.body")).alias("season"), payload.alias("payload"), F.col("c.pos").cast("int").alias("pos"))
 
 
 def verified(found: DataFrame, facts: DataFrame) -> DataFrame:
