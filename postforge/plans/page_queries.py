@@ -61,8 +61,6 @@ catalog.register("q_board_payloads", all_payloads, f"select * from (values {_VAL
 
 MARKDOWN = "# List\n\n| Company | Role | Location | Application |\n| --- | --- | --- | --- |\n| **Acme** | Intern | NYC | [Apply](https://acme.com/1) |\n| Beta | Dev |\n"
 catalog.register("q_markdown_table", lambda s, d: payloads.markdown_tables(s.createDataFrame([("list.md", MARKDOWN)], "path string, text string")), "select * from (values ('list.md', 4::bigint, 1::bigint, 'Acme', 'Intern', 'NYC', 'https://acme.com/1'), ('list.md', 5, 2, 'Beta', 'Dev', '', 'list.md#row-2')) v(path, line_no, row_no, company, title, location_raw, url)")
-FETCHES = ((1, 200, True), (2, 404, False), (3, 429, False), (4, 403, False), (5, 503, False), (6, 200, False))
-catalog.register("q_fetch_outcome", lambda s, d: s.createDataFrame(list(FETCHES), "id long, http_status int, valid boolean").select("id", payloads.outcome().alias("outcome")), "select * from (values (1::bigint, null), (2, 'config_error'), (3, 'rate_limit'), (4, 'config_error'), (5, 'network_error'), (6, 'parse_error')) v(id, outcome)")
 FIRMS = ({"id": "a", "name": "Acme", "aliases": ["AC"], "website": "x", "ats_type": "lever"}, {"id": "A", "name": "Other", "careers_url": "https://jobs.lever.co/other"}, {"name": "broken"}, {"id": "b", "name": "acme", "categories": ["fpga"]})
 catalog.register("q_firm_validation", lambda s, d: pack.validate_firms(pack.firms_frame(s, list(FIRMS))[0]).select("firms", "no_website", "no_careers_url", "no_ats_type", F.array_join("repeated_id", ",").alias("ids"), F.array_join("repeated_name", ",").alias("names"), "valid"), "select 3::bigint firms, 2::bigint no_website, 2::bigint no_careers_url, 2::bigint no_ats_type, 'a' ids, 'Acme' as names, false valid")
 catalog.register("q_source_plan", lambda s, d: payloads.plan_sources(pack.firms_frame(s, list(FIRMS))[0].withColumnRenamed("id", "company_id")), "select * from (values ('a', 'lever', 1), ('A', 'custom_page', 4), ('b', 'custom_page', 4)) v(company_id, source_type, o)")
