@@ -25,10 +25,16 @@ KINDS = {
 }
 
 
-def term_table(spark: SparkSession) -> DataFrame:
-    """(kind, place, term, name, usual) of every known term."""
+def term_table(spark: SparkSession, places: DataFrame | None = None) -> DataFrame:
+    """(kind, place, term, name, usual) of every known term; ``places`` (place
+    int, term), a pack's own, stand for the built-in ones."""
     rows = [(kind, i, term, name, i < usual) for kind, (terms, names, usual) in KINDS.items() for i, (term, name) in enumerate(zip(terms, names, strict=True))]
-    return spark.createDataFrame(rows, "kind string, place int, term string, name string, usual boolean")
+    known = spark.createDataFrame(rows, "kind string, place int, term string, name string, usual boolean")
+    if places is None:
+        return known
+    usual = F.col("place") < KINDS["location_term"][2]
+    own = places.select(F.lit("location_term").alias("kind"), F.col("place").cast("int").alias("place"), "term", F.col("term").alias("name"), usual.alias("usual"))
+    return known.where("kind <> 'location_term'").unionByName(own)
 
 
 def used_terms(known: DataFrame, asked: dict[str, str], exhaustive: bool) -> DataFrame:
@@ -59,10 +65,10 @@ def filled(terms: DataFrame, number: int, template: str) -> DataFrame:
     return joined.select(F.array(F.lit(number), *[F.col(f"p{i}") for i in range(len(names))]).alias("at"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("query"))
 
 
-def discovery_frame(spark: SparkSession, season: str | None = None, role: str | None = None, domain: str | None = None, limit: int | None = None, exhaustive: bool = False) -> DataFrame:
+def discovery_frame(spark: SparkSession, season: str | None = None, role: str | None = None, domain: str | None = None, limit: int | None = None, exhaustive: bool = False, places: DataFrame | None = None) -> DataFrame:
     """(position, query): at most ``limit`` distinct queries (60, or 250 if exhaustive)."""
     asked = {k: v for k, v in (("season", season), ("role", role), ("domain_term", domain)) if v and v.strip()}
-    terms = used_terms(term_table(spark), asked, exhaustive).cache()
+    terms = used_terms(term_table(spark, places), asked, exhaustive).cache()
     templates = (*K.DISCOVERY_TEMPLATES, *(K.DISCOVERY_EXHAUSTIVE if exhaustive else ()))
     every = reduce(DataFrame.unionByName, [filled(terms, i, t) for i, t in enumerate(templates)])
     first = every.groupBy(F.lower("query").alias("folded")).agg(F.min(F.struct("at", "query")).alias("q")).select("q.*")

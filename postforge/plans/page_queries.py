@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postforge.functions import fixed as K
@@ -33,34 +32,94 @@ catalog.register(
     select page_id, generic, detail, not generic and detail as specific from r""",
 )
 
-PAYLOADS = {
-    "greenhouse": {"jobs": [{"id": 11, "title": "FPGA Intern", "absolute_url": "https://boards.greenhouse.io/acme/jobs/11", "location": {"name": "London"}, "departments": [{"name": "Tech"}, {"name": "HW"}], "content": "Apply now", "updated_at": "2026-08-01T10:00:00Z"}, {"id": 12, "title": " ", "location": None, "departments": [], "updated_at": "bad"}]},
-    "lever": [{"id": "a1", "text": "Trader Intern", "hostedUrl": "https://jobs.lever.co/acme/a1", "applyUrl": "https://jobs.lever.co/acme/a1/apply", "categories": {"location": "Chicago", "team": "Trading"}, "descriptionPlain": "Trade.", "lists": [{"text": "Needs", "content": "Maths"}], "createdAt": 1785578400000}],
-    "ashby": {"jobs": [{"id": "x", "title": "Data Engineer", "jobUrl": "https://jobs.ashbyhq.com/acme/x", "location": "NYC", "secondaryLocations": [{"location": "Boston"}, {"location": "NYC"}], "department": "Data", "descriptionPlain": "ETL", "publishedAt": "2026-07-01T00:00:00Z", "isListed": True}, {"id": "y", "title": "Hidden", "isListed": False}]},
-    "workday": {"jobPostings": [{"title": "Analyst", "externalPath": "/job/1", "locationsText": "Austin"}, {"title": "Analyst", "externalPath": "/job/1", "locationsText": "Austin"}], "total": 2},
-}
 
+# --- payloads, lists and firms made of part and supplier -----------------------------------------
+
+_P = F.col("p_partkey")
+#: Postings of one board about.
+BOARD_POSTINGS = 20
 
-def captured(spark, source: str):
-    return spark.createDataFrame([("acme", "Acme", json.dumps(PAYLOADS[source]), 1, "https://acme.wd5.myworkdayjobs.com/ext")], "company_id string, company_name string, payload string, page int, site_base string")
 
+def part_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(company_id, company_name, source, slug, page, site_base, payload): each
+    part is a posting of firm p_partkey mod firms, whose source is that mod 4."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    n = max(1, parts.count() // BOARD_POSTINGS)
+    k, blank = _P.cast("string"), F.lit(None).cast("string")
+    at = F.concat(F.lit("https://x.example.com/"), k)
+    named = F.when(_P % 5 > 0, F.col("p_name")).otherwise("  ")
+    green = F.to_json(F.struct(k.alias("id"), named.alias("title"), F.when(_P % 3 > 0, at).alias("absolute_url"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("departments"), F.col("p_name").alias("content")))
+    lever = F.to_json(F.struct(k.alias("id"), named.alias("text"), at.alias("hostedUrl"), F.struct(F.col("p_brand").alias("location"), F.col("p_type").alias("team")).alias("categories"), F.when(_P % 2 == 0, F.col("p_name")).alias("descriptionPlain"), F.when(_P % 3 == 0, F.array(F.struct(F.lit("Needs").alias("text"), F.col("p_size").cast("string").alias("content")))).alias("lists"), F.lit("<b>rich</b>").alias("description")))
+    ashby = F.to_json(F.struct(F.col("p_name").alias("title"), at.alias("jobUrl"), F.col("p_brand").alias("location"), F.array(F.struct(F.lit("Boston").alias("location")), F.struct(F.col("p_brand").alias("location"))).alias("secondaryLocations"), F.when(_P % 2 == 0, F.col("p_type")).alias("department"), F.lit("Team").alias("team"), F.col("p_name").alias("descriptionHtml"), F.when(_P % 4 == 3, _P % 3 > 0).alias("isListed")))
+    workday = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("/job/"), k).alias("externalPath"), F.col("p_brand").alias("locationsText")))
+    source = (_P % n % 4).cast("int")
+    entry = F.when(source == 0, green).when(source == 1, lever).when(source == 2, ashby).otherwise(workday)
+    rows = parts.select((_P % n).alias("firm"), source.alias("source"), F.struct("p_partkey", entry.alias("e")).alias("x"))
+    boards = rows.groupBy("firm", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), ",").alias("e"))  # a board's postings
+    body = F.when(F.col("source") == 1, F.concat(F.lit("["), "e", F.lit("]"))).when(F.col("source") == 3, F.concat(F.lit('{"jobPostings": ['), "e", F.lit(","), "e", F.lit("]}"))).otherwise(F.concat(F.lit('{"jobs": ['), "e", F.lit("]}")))
+    firm = F.concat(F.lit("f"), F.col("firm").cast("string"))
+    return boards.select(firm.alias("company_id"), firm.alias("company_name"), "source", F.concat(F.lit("slug-"), firm).alias("slug"), F.lit(1).alias("page"), F.lit("https://t.wd1.myworkdayjobs.com/S").alias("site_base"), body.alias("payload"))
 
-def all_payloads(spark, sf_dir):
-    out = None
-    for source, read in (("greenhouse", payloads.greenhouse), ("lever", payloads.lever), ("ashby", payloads.ashby), ("workday", payloads.workday)):
-        rows = read(captured(spark, source))
+
+def all_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards, out = part_payloads(spark, sf_dir), None
+    for i, read in enumerate((payloads.greenhouse, payloads.lever, payloads.ashby, payloads.workday)):
+        rows = read(boards.where(F.col("source") == i))
         out = rows if out is None else out.unionByName(rows)
-    return out.select("source_type", "title", "url", "location_raw", "department", "description_raw", "ats_id")
+    return out.select("company_id", "source_type", "title", "url", "location_raw", "department", "description_raw", "ats_id")
+
+
+_N_BOARDS = f"z as (select greatest(1, count(*) // {BOARD_POSTINGS}) n from part)"
+catalog.register(
+    "q_board_payloads",
+    all_payloads,
+    f"""with {_N_BOARDS}, p as (select p_partkey k, p_partkey % n firm, (p_partkey % n % 4)::int s, p_name, p_type, p_brand, p_size, 'https://x.example.com/' || p_partkey addr, case when p_partkey % 5 > 0 then p_name else 'Job ' || p_partkey end named from part, z)
+select 'f' || firm company_id, ['greenhouse', 'lever', 'ashby', 'workday'][s + 1] source_type, case when s < 2 then named else p_name end title,
+  case when s = 0 and k % 3 = 0 then 'https://boards.greenhouse.io/slug-f' || firm || '/jobs/' || k when s = 3 then 'https://t.wd1.myworkdayjobs.com/S/job/' || k else addr end url,
+  case when s = 2 then p_brand || ', Boston' else p_brand end location_raw, case when s < 2 then p_type when s = 2 then case when k % 2 = 0 then p_type else 'Team' end end department,
+  case when s in (0, 2) then p_name when s = 1 then case when k % 2 = 0 or k % 3 = 0 then concat_ws(chr(10) || chr(10), case when k % 2 = 0 then p_name end, case when k % 3 = 0 then 'Needs' || chr(10) || p_size end) else '<b>rich</b>' end end description_raw,
+  case when s < 2 then k::varchar end ats_id
+from p where not (s = 2 and k % 4 = 3 and k % 3 = 0)""",
+)
+
 
+def part_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown list for each board: every third row is short, every fourth has no link."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    n = max(1, parts.count() // BOARD_POSTINGS)
+    k = _P.cast("string")
+    tail = F.when(_P % 4 == 0, F.concat(F.lit(" | none | soon |"))).otherwise(F.concat(F.lit(" | **"), "p_brand", F.lit("** | [Apply](https://x.example.com/"), k, F.lit(") |")))
+    row = F.concat(F.lit("| [Firm "), k, F.lit("](https://f.example.com) | *"), "p_name", F.lit("*"), F.when(_P % 3 == 0, F.lit(" |")).otherwise(tail))
+    lists = parts.groupBy((_P % n).alias("list")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    return lists.select(F.concat(F.lit("list-"), F.col("list").cast("string")).alias("path"), F.concat(F.lit("# Jobs\n\n| Company | Role | Location | Application |\n| --- | --- | --- | --- |\n"), "rows").alias("text"))
 
-_VALUES = ", ".join(f"({', '.join('null' if v is None else chr(39) + v + chr(39) for v in r)})" for r in (
-    ("greenhouse", "FPGA Intern", "https://boards.greenhouse.io/acme/jobs/11", "London", "Tech, HW", "Apply now", "11"), ("greenhouse", "Job 12", "https://boards.greenhouse.io/acme/jobs/12", None, None, None, "12"),
-    ("lever", "Trader Intern", "https://jobs.lever.co/acme/a1", "Chicago", "Trading", "Trade.\n\nNeeds\nMaths", "a1"), ("ashby", "Data Engineer", "https://jobs.ashbyhq.com/acme/x", "NYC, Boston", "Data", "ETL", "x"), ("workday", "Analyst", "https://acme.wd5.myworkdayjobs.com/ext/job/1", "Austin", None, None, None),
-))
-catalog.register("q_board_payloads", all_payloads, f"select * from (values {_VALUES}) v(source_type, title, url, location_raw, department, description_raw, ats_id)")
 
-MARKDOWN = "# List\n\n| Company | Role | Location | Application |\n| --- | --- | --- | --- |\n| **Acme** | Intern | NYC | [Apply](https://acme.com/1) |\n| Beta | Dev |\n"
-catalog.register("q_markdown_table", lambda s, d: payloads.markdown_tables(s.createDataFrame([("list.md", MARKDOWN)], "path string, text string")), "select * from (values ('list.md', 4::bigint, 1::bigint, 'Acme', 'Intern', 'NYC', 'https://acme.com/1'), ('list.md', 5, 2, 'Beta', 'Dev', '', 'list.md#row-2')) v(path, line_no, row_no, company, title, location_raw, url)")
-FIRMS = ({"id": "a", "name": "Acme", "aliases": ["AC"], "website": "x", "ats_type": "lever"}, {"id": "A", "name": "Other", "careers_url": "https://jobs.lever.co/other"}, {"name": "broken"}, {"id": "b", "name": "acme", "categories": ["fpga"]})
-catalog.register("q_firm_validation", lambda s, d: pack.validate_firms(pack.firms_frame(s, list(FIRMS))[0]).select("firms", "no_website", "no_careers_url", "no_ats_type", F.array_join("repeated_id", ",").alias("ids"), F.array_join("repeated_name", ",").alias("names"), "valid"), "select 3::bigint firms, 2::bigint no_website, 2::bigint no_careers_url, 2::bigint no_ats_type, 'a' ids, 'Acme' as names, false valid")
-catalog.register("q_source_plan", lambda s, d: payloads.plan_sources(pack.firms_frame(s, list(FIRMS))[0].withColumnRenamed("id", "company_id")), "select * from (values ('a', 'lever', 1), ('A', 'custom_page', 4), ('b', 'custom_page', 4)) v(company_id, source_type, o)")
+catalog.register(
+    "q_markdown_table",
+    lambda s, d: payloads.markdown_tables(part_lists(s, d)),
+    f"""with {_N_BOARDS}, p as (select p_partkey k, p_name, p_brand, 'list-' || (p_partkey % n) path, row_number() over (partition by p_partkey % n order by p_partkey) r from part, z)
+select path, r + 3 line_no, r row_no, 'Firm ' || k company, p_name title, case when k % 3 = 0 then '' when k % 4 = 0 then 'none' else p_brand end location_raw, case when k % 3 = 0 or k % 4 = 0 then path || '#row-' || r else 'https://x.example.com/' || k end url from p""",
+)
+
+
+def part_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A firm of a pack for each supplier; ids and names repeat with other case now and then."""
+    k = F.col("s_suppkey")
+    odd = F.when(k % 25 == 7, F.concat(F.lit("F"), (k - 1).cast("string"))).otherwise(F.concat(F.lit("f"), k.cast("string")))
+    source = F.element_at(F.array(*map(F.lit, ("greenhouse", "lever", "ashby", "workday", "custom_page"))), (k % 6 + 1).cast("int"))
+    kind = F.when(k % 6 < 5, source)
+    return table(spark, sf_dir, "supplier").select(odd.alias("id"), F.when(k % 40 == 9, F.concat(F.lit("FIRM "), (k + 1).cast("string"))).otherwise(F.concat(F.lit("Firm "), k.cast("string"))).alias("name"), F.when(k % 3 > 0, "https://w.example.com").alias("website"), F.when(k % 4 > 0, "https://c.example.com").otherwise(" ").alias("careers_url"), kind.alias("ats_type"), k.alias("seq"))
+
+
+_PACK = "p as (select s_suppkey k, case when s_suppkey % 25 = 7 then 'F' || (s_suppkey - 1) else 'f' || s_suppkey end id, case when s_suppkey % 40 = 9 then 'FIRM ' || (s_suppkey + 1) else 'Firm ' || s_suppkey end name, case when s_suppkey % 6 < 5 then ['greenhouse', 'lever', 'ashby', 'workday', 'custom_page'][s_suppkey % 6 + 1] end kind from supplier)"
+_REPEATS = lambda c: f"coalesce((select string_agg(v, ',' order by s) from (select arg_min({c}, k) v, min(k) s from p group by lower({c}) having count(*) > 1)), '')"
+catalog.register(
+    "q_firm_validation",
+    lambda s, d: pack.validate_firms(part_firms(s, d)).select("firms", "no_website", "no_careers_url", "no_ats_type", F.array_join("repeated_id", ",").alias("ids"), F.array_join("repeated_name", ",").alias("names"), "valid"),
+    f"with {_PACK}, r as (select {_REPEATS('id')} ids, {_REPEATS('name')} as names) select count(*) firms, count(*) filter (k % 3 = 0) no_website, count(*) filter (k % 4 = 0) no_careers_url, count(*) filter (kind is null) no_ats_type, any_value(ids) ids, any_value(names) as names, any_value(ids = '' and names = '') valid from p, r",
+)
+catalog.register(
+    "q_source_plan",
+    lambda s, d: payloads.plan_sources(part_firms(s, d).withColumnRenamed("id", "company_id")),
+    f"with {_PACK} select id company_id, coalesce(kind, 'custom_page') source_type, list_position(['greenhouse', 'lever', 'ashby', 'workday', 'custom_page'], coalesce(kind, 'custom_page'))::int - 1 o from p",
+)

@@ -312,17 +312,18 @@ catalog.register("q_json_payload", lambda s, d: table(s, d, "events").select("ev
 def _discovery_sql() -> str:
     """The seven templates written out over value lists."""
     values = lambda name, terms: f"{name} as (select * from (values {', '.join(f'({i}, {DUCK.lit(t)})' for i, t in enumerate(terms))}) v(o, v))"
-    cte = ", ".join(values(*x) for x in (("season", K.DISCOVERY_SEASONS[:4]), ("role", K.DISCOVERY_ROLES[:8]), ("gem", K.DISCOVERY_GEMS[:8]), ("spot", K.DISCOVERY_PLACES[:5]), ("site", tuple(K.DISCOVERY_DOMAINS.values())[:5]), ("year", ("2027", "2026"))))
+    cte = ", ".join(values(*x) for x in (("season", K.DISCOVERY_SEASONS[:4]), ("role", K.DISCOVERY_ROLES[:8]), ("gem", K.DISCOVERY_GEMS[:8]), ("site", tuple(K.DISCOVERY_DOMAINS.values())[:5]), ("year", ("2027", "2026"))))
     q = lambda x: f"'\"' || {x}.v || '\"'"
     parts = [
         ("season, role", f"{q('season')} || ' ' || {q('role')}"), ("season", f"{q('season')} || ' \"C++\" \"trading systems\" \"intern\"'"), ("season, role, gem", f"{q('season')} || ' ' || {q('role')} || ' ' || {q('gem')}"), ("season, spot, role", f"{q('season')} || ' ' || {q('spot')} || ' ' || {q('role')}"),
         ("year, role", f"{q('year')} || ' ' || {q('role')}"), ("site, season, role", f"site.v || ' ' || {q('season')} || ' ' || {q('role')}"), ("site, season, role, gem", f"site.v || ' ' || {q('season')} || ' ' || {q('role')} || ' ' || {q('gem')}"),
     ]
     selects = [f"select {i} t, [{', '.join(f'{n}.o' for n in names.split(', '))}] o, {text} q from {names}" for i, (names, text) in enumerate(parts)]
-    return f"with {cte}, a as ({' union all '.join(selects)}), n as (select *, row_number() over (order by t, o) r from a), u as (select min(r) r, arg_min(q, r) q from n group by lower(q)) select row_number() over (order by r) as position, q as query from u order by r limit 60"
+    cte += ", spot as (select n_nationkey o, n_name v from nation where n_nationkey < 5)"
+    return f"with {cte}, a as ({' union all '.join(selects)}), n as (select *, row_number() over (order by t, o) r from a), u as (select min(r) r, arg_min(q, r) q from n group by lower(q)) select row_number() over (order by r) as position, q as query from u order by r limit 400"
 
 
-catalog.register("q_discovery_queries", lambda s, d: discovery.discovery_frame(s), _discovery_sql())
+catalog.register("q_discovery_queries", lambda s, d: discovery.discovery_frame(s, limit=400, places=table(s, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("term"))), _discovery_sql())
 
 # --- extensions: not operators of the reference, free in Spark --------------------------------------
 catalog.register("ext_daily_actions", lambda s, d: action_log(s, d).groupBy(F.window("created_at", "1 day").alias("w"), "action_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "action_type", "n"), f"with {_LOG_SQL} select date_trunc('day', created_at)::timestamp as day, action_type, count(*) n from log group by all")
