@@ -2,9 +2,10 @@
 
 Exact rules (same canonical URL, same board key, same title and place) are
 equal-key groups: they become links to the group's first row by one
-aggregation each, never a pair join. Similar titles are compared once per
-distinct pair of a firm's titles whose lengths allow the ratio, so a firm with
-a million postings under few titles costs few comparisons.
+aggregation each, never a pair join. Similar titles are found by an index of
+character pairs, and compared once per distinct pair of a firm's titles that
+share one which the ratio demands, so neither many postings under few titles
+nor many titles cost comparisons of all with all.
 """
 
 from __future__ import annotations
@@ -59,14 +60,43 @@ def exact_links(jobs: DataFrame) -> DataFrame:
     return all_rows.join(first, ["reason", "company_id", "k"]).where("ingest_seq > a").select("a", F.col("ingest_seq").alias("b"), "reason").distinct()
 
 
+def title_grams(titles: DataFrame) -> DataFrame:
+    """(company_id, t, seq, n, gram): the pairs of adjacent characters that a
+    similar title must share one of.
+
+    A ratio over r of titles of n and m characters leaves M > r (n + m) / 2
+    characters matched, so one is made of the other by n - M deletions, which
+    spoil two pairs each, and m - M insertions, which spoil one: of the first
+    title at most 2 n + m - 3 M pairs are lost, and as m >= n r / (2 - r), at
+    most LOST n. Two titles that share all but so many of their pairs share one
+    among the LOST n + 1 that come first in any common order; the rarest come
+    first. Repeats of a pair are told apart by number. Titles under three
+    characters have no similar ones but equal titles.
+    """
+    each = titles.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("i", "pair")).where(F.length("t") > 2)
+    numbered = each.groupBy("company_id", "t", "seq", "pair").agg(F.count("*").alias("times")).select("company_id", "t", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: F.concat("pair", i.cast("string")))).alias("gram"))
+    numbered = cut(numbered)
+    common = numbered.groupBy("gram").agg(F.count("*").alias("held"))
+    ordered = numbered.join(common, "gram").groupBy("company_id", "t", "seq").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g"))  # a title's own
+    first = F.slice("g", 1, (F.floor(F.length("t") * LOST) + 1).cast("int"))
+    return ordered.select("company_id", "t", "seq", F.length("t").alias("n"), F.explode(F.transform(first, lambda x: x["gram"])).alias("gram"))
+
+
+_R = K.LIKELY_SIMILARITY / 100
+#: 2 n + m - 3 r (n + m) / 2 at the least m, for each character of n.
+LOST = 2 - 1.5 * _R + (1 - 1.5 * _R) * _R / (2 - _R) + 1e-9
+
+
 def similar_titles(jobs: DataFrame) -> DataFrame:
     """(company_id, t1, t2, similarity): distinct folded titles of a firm with a
-    ratio over 85, the title of the earlier row first."""
+    ratio over 85, the title of the earlier row first. Pairs come from an index
+    of rare character pairs, never from a join of all titles of a firm."""
     titles = jobs.groupBy("company_id", F.lower("title").alias("t")).agg(F.min("ingest_seq").alias("seq"))
-    a, b = titles.select("company_id", F.col("t").alias("t1"), F.col("seq").alias("s1")), titles.select("company_id", F.col("t").alias("t2"), F.col("seq").alias("s2"))
-    bound = 200 * F.least(F.length("t1"), F.length("t2")) / (F.length("t1") + F.length("t2"))  # no ratio exceeds it
-    pairs = a.join(b, "company_id").where((F.col("s1") < F.col("s2")) & (bound > K.LIKELY_SIMILARITY))
-    return pairs.withColumn("similarity", title_ratio("t1", "t2")).where(F.col("similarity") > K.LIKELY_SIMILARITY).select("company_id", "t1", "t2", "similarity")
+    grams = cut(title_grams(titles))
+    a, b = grams.select("company_id", "gram", F.col("t").alias("t1"), F.col("seq").alias("s1"), F.col("n").alias("n1")), grams.select("company_id", "gram", F.col("t").alias("t2"), F.col("seq").alias("s2"), F.col("n").alias("n2"))
+    bound = 200 * F.least("n1", "n2") / (F.col("n1") + F.col("n2"))  # no ratio exceeds it
+    met = a.join(b, ["company_id", "gram"]).where((F.col("s1") < F.col("s2")) & (bound > K.LIKELY_SIMILARITY)).select("company_id", "t1", "t2").distinct()
+    return met.withColumn("similarity", title_ratio("t1", "t2")).where(F.col("similarity") > K.LIKELY_SIMILARITY)
 
 
 def similar_links(jobs: DataFrame) -> DataFrame:
@@ -91,6 +121,11 @@ def similar_links(jobs: DataFrame) -> DataFrame:
     return own.unionByName(near).select("a", "b", F.lit("same company with highly similar title").alias("reason")).distinct()
 
 
+def all_links(jobs: DataFrame) -> DataFrame:
+    """DED-01: links of every rule."""
+    return exact_links(jobs).unionByName(similar_links(jobs))
+
+
 def clusters(links: DataFrame) -> DataFrame:
     """DED-02: (ingest_seq, cluster) of rows that have a duplicate."""
     return connected_components(links.select("a", "b")).select(F.col("node").alias("ingest_seq"), F.col("component").alias("cluster"))

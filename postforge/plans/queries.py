@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,8 +213,28 @@ _RECURSIVE = normalized_sql("select 1").replace("with ", "with recursive ", 1).r
 catalog.register("q_components_exact", lambda s, d: resolve.clusters(resolve.exact_links(_norm(s, d))), f"{_RECURSIVE} select ingest_seq, cluster from comp")
 
 
+def _similar_values() -> str:
+    """(t1, t2, ratio) of the view's titles that are not equal, by the plain matcher over all pairs."""
+    titles = sorted({" ".join(t.split()).lower() for t in postings.TITLES})
+    rows = [(a, b, SequenceMatcher(None, a, b).ratio() * 100) for a in titles for b in titles if a != b]
+    return ", ".join(f"({DUCK.lit(a)}, {DUCK.lit(b)}, {r!r})" for a, b, r in rows if r > K.LIKELY_SIMILARITY)
+
+
+# every rule over every pair of a firm's rows; the title that a firm had first stands first in the ratio
+_ALL_RULES_SQL = f"""sims as (select * from (values {_similar_values()}) v(t1, t2, ratio)),
+k as (select company_id, ingest_seq s, apply_url a, source_url u, {R.ats_key(DUCK, 'source_url', 'apply_url')} b, lower(title) t, season n, year y, list_transform(locations, lambda l: lower(l)) ls, min(ingest_seq) over (partition by company_id, lower(title)) t0 from jobs),
+p as (select x.s s1, z.s s2, x.a = z.a and x.a <> '' r1, coalesce(x.b = z.b, false) r3, x.t = z.t and list_has_any(x.ls, z.ls) r6, case when x.t = z.t then 100 else coalesce(m.ratio, 0) end sim,
+  x.u = z.u and x.u <> '' same_url, x.y is distinct from z.y odd_years, x.y = z.y and x.n is not distinct from z.n same_season
+  from k x join k z on x.company_id = z.company_id and x.s < z.s left join sims m on m.t1 = case when x.t0 < z.t0 then x.t else z.t end and m.t2 = case when x.t0 < z.t0 then z.t else x.t end),
+q as (select *, same_url and sim > {K.SURE_SIMILARITY} r2, sim > {K.SURE_SIMILARITY} r4, sim > {K.LIKELY_SIMILARITY} and sim <= {K.SURE_SIMILARITY} and coalesce(same_season, false) r5 from p),
+l as (select s1 a, s2 b from q where r1 or r2 or r3 or ((r4 or r5 or r6) and not (sim > {K.LIKELY_SIMILARITY} and odd_years)))"""
+_ALL_RECURSIVE = _RECURSIVE.replace(_RULES_SQL, _ALL_RULES_SQL)
+catalog.register("q_components_similar", lambda s, d: _resolved(s, d), f"{_ALL_RECURSIVE} select ingest_seq, cluster from comp")
+catalog.register("q_titles_similar", lambda s, d: resolve.similar_titles(_norm(s, d)), f"{_ALL_RECURSIVE} select distinct x.company_id, sims.t1, sims.t2, ratio::double similarity from k x join k z using (company_id) join sims on sims.t1 = x.t and sims.t2 = z.t where x.t0 < z.t0")
+
+
 def _resolved(spark, sf_dir):
-    return resolve.clusters(resolve.exact_links(_norm(spark, sf_dir)))
+    return resolve.clusters(resolve.all_links(_norm(spark, sf_dir)))
 
 
 def survivors(spark, sf_dir):
@@ -223,7 +244,7 @@ def survivors(spark, sf_dir):
 
 def _survivors_sql() -> str:
     top = lambda c, *keys: f"arg_max({c}, {{{', '.join(f'{chr(39)}k{i}{chr(39)}: {k}' for i, k in enumerate((*keys, '-ingest_seq')))}}}) {c}"
-    cte = jobs_sql("select 1").replace("with ", "with recursive ", 1).removesuffix(" select 1") + _RECURSIVE[_RECURSIVE.index(", k as (") :]
+    cte = jobs_sql("select 1").replace("with ", "with recursive ", 1).removesuffix(" select 1") + _ALL_RECURSIVE[_ALL_RECURSIVE.index(", sims as (") :]
     ps, pt = resolve.priority(DUCK, "source_type", K.SOURCE_PRIORITY, 2), resolve.priority(DUCK, "status", K.STATUS_PRIORITY, 0)
     primary = ("p_source", "n_text", "status_confidence", "role_confidence")
     return f"""{cte}, m as (select j.*, cluster, {ps} p_source, {pt} p_status, length(description) n_text, {R.url_specificity(DUCK, 'apply_url', True)} u_apply, {R.url_specificity(DUCK, 'source_url', False)} u_source from jobs j join comp using (ingest_seq)),
@@ -235,8 +256,8 @@ select w.*, coalesce(z.locations, '') locations, {resolve.content_hash(DUCK)} co
 
 
 catalog.register("q_survivors", survivors, _survivors_sql())
-catalog.register("q_members", lambda s, d: resolve.members(_norm(s, d), _resolved(s, d)), f"{_RECURSIVE} select cluster, ingest_seq, source_type, source_url, row_number() over (partition by cluster order by ingest_seq) place from comp join jobs using (ingest_seq)")
-catalog.register("q_resolved_order", lambda s, d: resolve.resolved_order(_norm(s, d), _resolved(s, d)), f"{_RECURSIVE} select j.ingest_seq, cluster is null single from jobs j left join comp using (ingest_seq) where cluster is null or cluster = j.ingest_seq")
+catalog.register("q_members", lambda s, d: resolve.members(_norm(s, d), _resolved(s, d)), f"{_ALL_RECURSIVE} select cluster, ingest_seq, source_type, source_url, row_number() over (partition by cluster order by ingest_seq) place from comp join jobs using (ingest_seq)")
+catalog.register("q_resolved_order", lambda s, d: resolve.resolved_order(_norm(s, d), _resolved(s, d)), f"{_ALL_RECURSIVE} select j.ingest_seq, cluster is null single from jobs j left join comp using (ingest_seq) where cluster is null or cluster = j.ingest_seq")
 
 
 def cluster_reasons(spark, sf_dir):
@@ -246,8 +267,6 @@ def cluster_reasons(spark, sf_dir):
 
 # a group's links name all its rules, so reasons agree with those of all pairs but for pairs that only the veto spared
 catalog.register("q_cluster_reasons", cluster_reasons, f"{_RECURSIVE}, {_PAIRS_SQL[_PAIRS_SQL.index('g as (') :].replace('from k', 'from k2')}, q as (select distinct cluster, reason from links join comp on comp.ingest_seq = links.b) select cluster, string_agg(reason, '; ' order by reason) reasons from q group by 1".replace(", g as (", ", k2 as (select company_id, s ingest_seq, a, u, b, t, y, locations from k join (select ingest_seq s, locations from jobs) using (s)), g as (", 1))
-catalog.register("q_titles_similar", lambda s, d: resolve.similar_titles(_norm(s, d)))
-catalog.register("q_components_similar", lambda s, d: resolve.clusters(resolve.exact_links(_norm(s, d)).unionByName(resolve.similar_links(_norm(s, d)))))
 
 # --- action state, runs ------------------------------------------------------------------------
 _LOG = {
