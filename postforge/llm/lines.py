@@ -54,8 +54,10 @@ def key_hash(key: bytes) -> bytes:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: bit arrays by level, each
-    with the number of bits set before every 64-bit word."""
+    """Minimal perfect hash of distinct 128-bit keys: bit arrays by level, each
+    with the number of bits set before every 64-bit word. Levels go by the high
+    halves; keys that no level parts, such as those of one high half, are kept
+    whole, sorted, as pairs of halves in ``rest``."""
 
     def __init__(self, sizes: np.ndarray, words: np.ndarray, rest: np.ndarray):
         self.sizes, self.words, self.rest = sizes, words, rest
@@ -70,8 +72,9 @@ class PerfectHash:
         return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: np.ndarray, depth: int = 40) -> PerfectHash:
+    def build(cls, keys: np.ndarray, low: np.ndarray | None = None, depth: int = 40) -> PerfectHash:
         sizes, words = [], []
+        low = np.zeros(len(keys), np.uint64) if low is None else low
         for level in range(depth):
             if not len(keys):
                 break
@@ -80,11 +83,14 @@ class PerfectHash:
             alone = np.bincount(at, minlength=-(-size // 64) * 64) == 1
             sizes.append(size)
             words.append(np.packbits(alone, bitorder="little").view("<u8"))
-            keys = keys[~alone[at]]
-        return cls(np.array(sizes, np.int64), np.concatenate(words) if words else np.zeros(0, "<u8"), np.sort(keys))
+            keys, low = keys[~alone[at]], low[~alone[at]]
+        order = np.lexsort((low, keys))
+        rest = np.stack([keys[order], low[order]], axis=1).astype("<u8").reshape(-1)
+        return cls(np.array(sizes, np.int64), np.concatenate(words) if words else np.zeros(0, "<u8"), rest)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
+    def slots(self, keys: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
         """The slot of each key of the set; any slot or -1 for others."""
+        low = np.zeros(len(keys), np.uint64) if low is None else low
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         for level, size in enumerate(self.sizes):
@@ -98,13 +104,18 @@ class PerfectHash:
             if not len(left):
                 return out
         if len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, keys[left]), len(self.rest) - 1)
-            hit = self.rest[at] == keys[left]
-            out[left[hit]] = int(self.before[-1]) + at[hit]
+            pairs = self.rest.reshape(-1, 2)
+            at = np.searchsorted(pairs[:, 0], keys[left])
+            while len(left):  # once for each key of the longest run of one high half
+                inside = np.minimum(at, len(pairs) - 1)
+                same = (at < len(pairs)) & (pairs[inside, 0] == keys[left])
+                hit = same & (pairs[inside, 1] == low[left])
+                out[left[hit]] = int(self.before[-1]) + at[hit]
+                left, at = left[same & ~hit], at[same & ~hit] + 1
         return out
 
     def __len__(self) -> int:
-        return int(self.before[-1]) + len(self.rest)
+        return int(self.before[-1]) + len(self.rest) // 2
 
 
 class Shard:
@@ -120,8 +131,10 @@ class Shard:
 
     @classmethod
     def build(cls, high: np.ndarray, low: np.ndarray, first: np.ndarray, count: np.ndarray) -> Shard:
-        mph = PerfectHash.build(high)
-        at = mph.slots(high)
+        mph = PerfectHash.build(high, low)
+        at = mph.slots(high, low)
+        if len(np.unique(at)) != len(at) or (at < 0).any():
+            raise ValueError("two line hashes share a slot: keys of a shard must be distinct")
         fingerprint, counts, owner = np.zeros(len(mph), "<u4"), np.zeros(len(mph), np.uint8), np.zeros(len(mph), "<i8")
         fingerprint[at], counts[at], owner[at] = low.astype("<u4"), np.minimum(count, 255), first
         return cls(mph, fingerprint, counts, owner[counts >= 2])
@@ -140,7 +153,7 @@ class Shard:
 
     def owners(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is a key of at least two documents, its smallest document)."""
-        at = self.mph.slots(high)
+        at = self.mph.slots(high, low)
         known, found = at >= 0, np.zeros(len(high), np.int64)
         at = np.where(known, at, 0)
         if len(self.count):
