@@ -32,6 +32,8 @@ MISS = 0.002
 #: Unrelated vectors expected in a bucket.
 CROWD = 150
 CELL = 4096
+#: Vectors of a cell that are held against all of it at once.
+STRIP = 128
 SEED = 7
 
 
@@ -120,8 +122,8 @@ def _cell_links(threshold: float):
     """Rows sorted by (t, key, i, j) to (kind 0: cls, linked vectors; 1: cls, cls)."""
 
     def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for d in {_dims(r["vec"]) for r in rows}:
-            own = [r for r in rows if _dims(r["vec"]) == d]
+        for size in {_dims(r["vec"]) for r in rows}:
+            own = [r for r in rows if _dims(r["vec"]) == size]
             if len(own) < 2:
                 continue
             t = own[0]["t"]
@@ -132,24 +134,29 @@ def _cell_links(threshold: float):
             keys = np.frombuffer(b"".join(r["keys"] for r in own), np.uint64).reshape(len(own), -1)
             total = np.zeros(len(own), np.int64)
             edges = []
-            for s in range(0, len(own), 512):
-                near = x[s : s + 512] @ x.T >= threshold - 1e-9
+            for s in range(0, len(own), STRIP):
+                dots = x[s : s + STRIP] @ x.T
+                near = dots >= threshold - 1e-9
+                near &= np.arange(s, s + len(near))[:, None] < np.arange(len(own))
+                if across:
+                    near &= side[s : s + STRIP, None] != side
+                a, b = np.nonzero(near & (dots < threshold + 1e-9))  # the last digits decide: sums of one pair by itself
+                for i in range(0, len(a), 4096):
+                    c, d = a[i : i + 4096], b[i : i + 4096]
+                    near[c, d] = np.einsum("ij,ij->i", x[c + s], x[d]) >= threshold
                 a, b = np.nonzero(near)
                 a += s
-                keep = a < b
-                if across:
-                    keep &= side[a] != side[b]
-                a, b = a[keep], b[keep]
                 if not len(a):
                     continue
-                fine = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                a, b = a[fine], b[fine]
                 fresh = np.ones(len(a), bool)
                 for u in range(t):  # counted in an earlier table
                     fresh &= keys[a, u] != keys[b, u]
                 a, b = a[fresh], b[fresh]
-                np.add.at(total, a, n[b])
-                np.add.at(total, b, n[a])
+                for c, d in ((a, b), (b, a)):
+                    order = np.argsort(c, kind="stable")
+                    starts = np.nonzero(np.diff(c[order], prepend=-1))[0]
+                    if len(starts):
+                        total[c[order][starts]] += np.add.reduceat(n[d[order]], starts)
                 if len(a):
                     edges.append(spanning_forest(a, b))
             hit = np.nonzero(total)[0]
