@@ -11,23 +11,22 @@ from postforge.session import stored, table
 from postforge.sources import board_reader as B
 from postforge.sources import payloads
 
-_K = F.col("s_suppkey")
-
 
 def supplier_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier as a firm: its board's source, slugs and coordinates follow its key."""
-    k = _K.cast("string")
-    source = F.element_at(F.array(*map(F.lit, ("greenhouse", "lever", "ashby", "workday"))), (_K % 4 + 1).cast("int"))
+    key = F.col("s_suppkey")
+    k = key.cast("string")
+    source = F.element_at(F.array(*map(F.lit, ("greenhouse", "lever", "ashby", "workday"))), (key % 4 + 1).cast("int"))
     none = F.lit(None).cast("string")
     return table(spark, sf_dir, "supplier").select(
         "s_suppkey",
         F.concat(F.lit("s"), k).alias("company_id"),
         F.concat(F.lit("Firm "), k, F.lit(" & Co.")).alias("name"),
         F.array(F.lit("Fx"), F.concat(F.lit("F-"), k, F.lit("x"))).alias("aliases"),
-        F.when(_K % 4 == 0, F.concat(F.lit("https://boards.greenhouse.io/embed?for=gh"), k)).when(_K % 8 == 3, F.concat(F.lit("https://t"), k, F.lit(".wd5.myworkdayjobs.com/en-US/ext"))).alias("careers_url"),
-        F.when(_K % 10 == 9, "custom").otherwise(source).alias("ats_type"),
-        F.when((_K % 4 == 0) & (_K % 3 == 0), F.concat(F.lit("own"), k)).alias("ats_slug"),
-        *[F.when(_K % 8 == 7, v).otherwise(none).alias(n) for n, v in (("ats_tenant", F.concat(F.lit("t"), k)), ("ats_datacenter", F.lit("wd1")), ("ats_site", F.lit("Jobs")))],
+        F.when(key % 4 == 0, F.concat(F.lit("https://boards.greenhouse.io/embed?for=gh"), k)).when(key % 8 == 3, F.concat(F.lit("https://t"), k, F.lit(".wd5.myworkdayjobs.com/en-US/ext"))).alias("careers_url"),
+        F.when(key % 10 == 9, "custom").otherwise(source).alias("ats_type"),
+        F.when((key % 4 == 0) & (key % 3 == 0), F.concat(F.lit("own"), k)).alias("ats_slug"),
+        *[F.when(key % 8 == 7, v).otherwise(none).alias(n) for n, v in (("ats_tenant", F.concat(F.lit("t"), k)), ("ats_datacenter", F.lit("wd1")), ("ats_site", F.lit("Jobs")))],
     )
 
 
@@ -39,8 +38,9 @@ def captured_answers(firms: DataFrame) -> DataFrame:
     with a hidden entry, server error, no entries. workday: 10 + 15 (v mod 4)
     postings in pages of 20, the total on the first page only (v mod 3 = 1: never);
     one page more than there should be; v mod 7 = 6: the second page fails."""
-    k, v = _K.cast("string"), F.floor(_K / 4).cast("int")
-    jobs = lambda entry: F.transform(F.sequence(F.lit(1), (_K % 3 + 1).cast("int")), entry)
+    key = F.col("s_suppkey")
+    k, v = key.cast("string"), F.floor(key / 4).cast("int")
+    jobs = lambda entry: F.transform(F.sequence(F.lit(1), (key % 3 + 1).cast("int")), entry)
     place = lambda i: F.concat(F.lit("Role "), k, F.lit("-"), i.cast("string"))
     gh = F.to_json(F.struct(jobs(lambda i: F.struct(i.alias("id"), place(i).alias("title"))).alias("jobs")))
     lv = F.to_json(jobs(lambda i: F.struct(i.alias("id"), place(i).alias("text"), F.concat(F.lit("https://jobs.lever.co/"), k, F.lit("/"), i.cast("string")).alias("hostedUrl"))))
@@ -51,7 +51,7 @@ def captured_answers(firms: DataFrame) -> DataFrame:
         rows.append(firms.where(where).select(url.alias("url"), page.cast("int").alias("page"), status.cast("int").alias("http_status"), F.when(status == 200, body).alias("body")))
 
     at = lambda source, host, slug: B._filled(B.HOSTS[source][host], slug=slug)
-    green, lever, ashby, workday = (_K % 4 == i for i in range(4))
+    green, lever, ashby, workday = (key % 4 == i for i in range(4))
     for host in (0, 1):
         add(green & F.col("ats_slug").isNotNull(), at("greenhouse", host, F.col("ats_slug")), F.lit(404), F.lit(""))
         status = F.when(v % 5 == (0 if host == 0 else 1), 200).when((v % 5 == 3) & F.lit(host == 0), 429).when((v % 5 == 4) & F.lit(host == 0), 200).otherwise(404)
@@ -65,7 +65,7 @@ def captured_answers(firms: DataFrame) -> DataFrame:
     here = F.sequence(F.col("p") * B.PAGE_SIZE + 1, F.greatest(F.least(total, (F.col("p") + 1) * B.PAGE_SIZE), F.col("p") * B.PAGE_SIZE + 1))
     entries = F.transform(here, lambda i: F.struct(place(i).alias("title"), F.concat(F.lit("/job/"), F.least(i, total).cast("string")).alias("externalPath"), F.lit("Austin").alias("locationsText")))
     body = F.to_json(F.struct(entries.alias("jobPostings"), F.when((F.col("p") == 0) & (v % 3 != 1), total).otherwise(0).alias("total")))
-    url = F.concat(F.lit("https://t"), k, F.when(_K % 8 == 7, ".wd1").otherwise(".wd5"), F.lit(".myworkdayjobs.com/wday/cxs/t"), k, F.when(_K % 8 == 7, "/Jobs/jobs").otherwise("/ext/jobs"))
+    url = F.concat(F.lit("https://t"), k, F.when(key % 8 == 7, ".wd1").otherwise(".wd5"), F.lit(".myworkdayjobs.com/wday/cxs/t"), k, F.when(key % 8 == 7, "/Jobs/jobs").otherwise("/ext/jobs"))
     status = F.when((v % 7 == 6) & (F.col("p") == 1), 500).otherwise(200)
     rows.append(pages.select(url.alias("url"), F.col("p").cast("int").alias("page"), status.cast("int").alias("http_status"), F.when(status == 200, body).alias("body")))
     out = rows[0]

@@ -35,7 +35,6 @@ catalog.register(
 
 # --- payloads, lists and firms made of part and supplier -----------------------------------------
 
-_P = F.col("p_partkey")
 #: Postings of one board about.
 BOARD_POSTINGS = 20
 
@@ -45,16 +44,17 @@ def part_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     part is a posting of firm p_partkey mod firms, whose source is that mod 4."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     n = max(1, parts.count() // BOARD_POSTINGS)
-    k, blank = _P.cast("string"), F.lit(None).cast("string")
+    key = F.col("p_partkey")
+    k = key.cast("string")
     at = F.concat(F.lit("https://x.example.com/"), k)
-    named = F.when(_P % 5 > 0, F.col("p_name")).otherwise("  ")
-    green = F.to_json(F.struct(k.alias("id"), named.alias("title"), F.when(_P % 3 > 0, at).alias("absolute_url"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("departments"), F.col("p_name").alias("content")))
-    lever = F.to_json(F.struct(k.alias("id"), named.alias("text"), at.alias("hostedUrl"), F.struct(F.col("p_brand").alias("location"), F.col("p_type").alias("team")).alias("categories"), F.when(_P % 2 == 0, F.col("p_name")).alias("descriptionPlain"), F.when(_P % 3 == 0, F.array(F.struct(F.lit("Needs").alias("text"), F.col("p_size").cast("string").alias("content")))).alias("lists"), F.lit("<b>rich</b>").alias("description")))
-    ashby = F.to_json(F.struct(F.col("p_name").alias("title"), at.alias("jobUrl"), F.col("p_brand").alias("location"), F.array(F.struct(F.lit("Boston").alias("location")), F.struct(F.col("p_brand").alias("location"))).alias("secondaryLocations"), F.when(_P % 2 == 0, F.col("p_type")).alias("department"), F.lit("Team").alias("team"), F.col("p_name").alias("descriptionHtml"), F.when(_P % 4 == 3, _P % 3 > 0).alias("isListed")))
+    named = F.when(key % 5 > 0, F.col("p_name")).otherwise("  ")
+    green = F.to_json(F.struct(k.alias("id"), named.alias("title"), F.when(key % 3 > 0, at).alias("absolute_url"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("departments"), F.col("p_name").alias("content")))
+    lever = F.to_json(F.struct(k.alias("id"), named.alias("text"), at.alias("hostedUrl"), F.struct(F.col("p_brand").alias("location"), F.col("p_type").alias("team")).alias("categories"), F.when(key % 2 == 0, F.col("p_name")).alias("descriptionPlain"), F.when(key % 3 == 0, F.array(F.struct(F.lit("Needs").alias("text"), F.col("p_size").cast("string").alias("content")))).alias("lists"), F.lit("<b>rich</b>").alias("description")))
+    ashby = F.to_json(F.struct(F.col("p_name").alias("title"), at.alias("jobUrl"), F.col("p_brand").alias("location"), F.array(F.struct(F.lit("Boston").alias("location")), F.struct(F.col("p_brand").alias("location"))).alias("secondaryLocations"), F.when(key % 2 == 0, F.col("p_type")).alias("department"), F.lit("Team").alias("team"), F.col("p_name").alias("descriptionHtml"), F.when(key % 4 == 3, key % 3 > 0).alias("isListed")))
     workday = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("/job/"), k).alias("externalPath"), F.col("p_brand").alias("locationsText")))
-    source = (_P % n % 4).cast("int")
+    source = (key % n % 4).cast("int")
     entry = F.when(source == 0, green).when(source == 1, lever).when(source == 2, ashby).otherwise(workday)
-    rows = parts.select((_P % n).alias("firm"), source.alias("source"), F.struct("p_partkey", entry.alias("e")).alias("x"))
+    rows = parts.select((key % n).alias("firm"), source.alias("source"), F.struct("p_partkey", entry.alias("e")).alias("x"))
     boards = rows.groupBy("firm", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), ",").alias("e"))  # a board's postings
     body = F.when(F.col("source") == 1, F.concat(F.lit("["), "e", F.lit("]"))).when(F.col("source") == 3, F.concat(F.lit('{"jobPostings": ['), "e", F.lit(","), "e", F.lit("]}"))).otherwise(F.concat(F.lit('{"jobs": ['), "e", F.lit("]}")))
     firm = F.concat(F.lit("f"), F.col("firm").cast("string"))
@@ -87,10 +87,11 @@ def part_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown list for each board: every third row is short, every fourth has no link."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     n = max(1, parts.count() // BOARD_POSTINGS)
-    k = _P.cast("string")
-    tail = F.when(_P % 4 == 0, F.concat(F.lit(" | none | soon |"))).otherwise(F.concat(F.lit(" | **"), "p_brand", F.lit("** | [Apply](https://x.example.com/"), k, F.lit(") |")))
-    row = F.concat(F.lit("| [Firm "), k, F.lit("](https://f.example.com) | *"), "p_name", F.lit("*"), F.when(_P % 3 == 0, F.lit(" |")).otherwise(tail))
-    lists = parts.groupBy((_P % n).alias("list")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    key = F.col("p_partkey")
+    k = key.cast("string")
+    tail = F.when(key % 4 == 0, F.concat(F.lit(" | none | soon |"))).otherwise(F.concat(F.lit(" | **"), "p_brand", F.lit("** | [Apply](https://x.example.com/"), k, F.lit(") |")))
+    row = F.concat(F.lit("| [Firm "), k, F.lit("](https://f.example.com) | *"), "p_name", F.lit("*"), F.when(key % 3 == 0, F.lit(" |")).otherwise(tail))
+    lists = parts.groupBy((key % n).alias("list")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
     return lists.select(F.concat(F.lit("list-"), F.col("list").cast("string")).alias("path"), F.concat(F.lit("# Jobs\n\n| Company | Role | Location | Application |\n| --- | --- | --- | --- |\n"), "rows").alias("text"))
 
 
