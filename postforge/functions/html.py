@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -34,48 +35,107 @@ ENDS_P = BLOCKS | LISTS | {"p", "h1", "h2", "h3", "h4", "table", "main", "header
 SHORTEST, LONGEST = 40, 2400
 
 
+class _Open:
+    """Open elements in order; the last one of a tag is found, and taken out from wherever it stands, in constant time."""
+
+    def __init__(self):
+        self.top: dict | None = None
+        self.by_tag: dict[str, list[dict]] = {}
+
+    def push(self, tag: str, **values):
+        node = {"tag": tag, "below": self.top, "above": None, **values}
+        if self.top is not None:
+            self.top["above"] = node
+        self.top = node
+        self.by_tag.setdefault(tag, []).append(node)
+
+    def last(self, tag: str) -> dict | None:
+        found = self.by_tag.get(tag)
+        return found[-1] if found else None
+
+    def remove(self, node: dict):
+        """Take out the last element of its tag."""
+        self.by_tag[node["tag"]].pop()
+        below, above = node["below"], node["above"]
+        if below is not None:
+            below["above"] = above
+        if above is not None:
+            above["below"] = below
+        else:
+            self.top = below
+
+
+def _squash(parts) -> str:
+    return " ".join(" ".join(parts).split())
+
+
 class _Page(HTMLParser):
     """Marks and blocks hold where their text begins in the page's words, so
-    what stays open costs nothing; left-out end tags of p and li are implied."""
+    what stays open costs nothing; left-out end tags of p and li are implied.
+
+    A block knows the length of its text from a running sum and its first seed
+    that names a role, so what encloses it is tried in constant time; the seeds
+    of two blocks are joined by moving the fewer."""
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url, self.title, self.words, self.ld, self.headings, self.anchors, self.items = url, [], [], [], [], [], []
         self.blocks: list[dict] = []
-        self.open: list[dict] = []
+        self.open, self.marks = _Open(), _Open()  # marks: kind, where its text begins, link; lists are kept as bounds
         self.skip, self.in_title, self.in_ld = 0, False, False
-        self.marks: list[tuple[str, int, str]] = []  # kind, where its text begins, link; lists are kept as bounds
-        self.lists, self.solid = 0, 0  # open lists, characters so far without white space
+        self.lists, self.solid = 0, 0  # open lists, characters of all words so far
 
-    def _end_mark(self, i: int):
-        kind, begin, href = self.marks.pop(i)
+    def _end_mark(self, mark: dict):
+        self.marks.remove(mark)
+        kind = mark["tag"]
         if kind in LISTS:
             return
-        joined = " ".join(" ".join(self.words[begin:]).split())
+        joined = " ".join(self.words[mark["begin"] :])
         if kind == "a":
-            self.anchors.append({"text": joined, "href": href})
+            self.anchors.append({"text": joined, "href": mark["href"]})
         elif kind in ("p", "li"):
             self.items.append(joined)
         else:
             self.headings.append(joined)
-        if kind not in ("p", "li") and self.open and joined:
-            self.open[-1]["seeds"].append((joined, href))
+        block = self.open.top
+        if kind not in ("p", "li") and block is not None and joined:
+            block["seeds"].append((joined, mark["href"]))
+            block["href"] = block["href"] or mark["href"]
+            if block["role"] is None and any(t in joined.lower() for t in K.ROLE_TERMS):
+                block["role"] = joined
 
     def _imply(self, *kinds: str):
         """End the open marks of these kinds in the list at hand, with what stands in them."""
-        i = low = len(self.marks)
-        while i and (self.marks[i - 1][0] in kinds or self.marks[i - 1][0] not in LISTS):
-            i -= 1
-            low = i if self.marks[i][0] in kinds else low
-        for k in range(len(self.marks) - 1, low - 1, -1):
-            self._end_mark(k)
-
-    def _end_block(self, i: int):
-        self._close(self.open.pop(i), self.open[i - 1] if i else None)
+        mark, low = self.marks.top, None
+        while mark is not None and (mark["tag"] in kinds or mark["tag"] not in LISTS):
+            low = mark if mark["tag"] in kinds else low
+            mark = mark["below"]
+        while low is not None:
+            mark = self.marks.top
+            self._end_mark(mark)
+            if mark is low:
+                break
+
+    def _end_block(self, block: dict):
+        self.open.remove(block)
+        outer = block["below"]
+        done = self._close(block)
+        if outer is None:
+            return
+        outer["holds"] |= block["holds"] or done
+        if not done:
+            mine, theirs = block["seeds"], outer["seeds"]
+            if len(mine) <= len(theirs):
+                theirs.extend(mine)
+            else:
+                mine.extendleft(reversed(theirs))
+                outer["seeds"] = mine
+            outer["href"] = outer["href"] or block["href"]
+            outer["role"] = block["role"] if outer["role"] is None else outer["role"]
 
     def _end_list_items(self):
-        while self.open and self.open[-1]["tag"] == "li" and self.open[-1]["lists"] == self.lists:
-            self._end_block(len(self.open) - 1)
+        while self.open.top is not None and self.open.top["tag"] == "li" and self.open.top["lists"] == self.lists:
+            self._end_block(self.open.top)
 
     def close(self):
         super().close()
@@ -98,12 +158,12 @@ class _Page(HTMLParser):
         elif tag == "title":
             self.in_title = True
         elif tag in MARKED:
-            self.marks.append((tag, len(self.words), urldefrag(urljoin(self.url, a.get("href") or ""))[0] if tag == "a" and a.get("href") else ""))
+            self.marks.push(tag, begin=len(self.words), href=urldefrag(urljoin(self.url, a.get("href") or ""))[0] if tag == "a" and a.get("href") else "")
         elif tag in LISTS:
-            self.marks.append((tag, len(self.words), ""))
+            self.marks.push(tag)
             self.lists += 1
         if tag in BLOCKS:
-            self.open.append({"tag": tag, "begin": len(self.words), "solid": self.solid, "lists": self.lists, "seeds": []})
+            self.open.push(tag, begin=len(self.words), solid=self.solid, lists=self.lists, seeds=deque(), role=None, href="", holds=False)
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -117,25 +177,27 @@ class _Page(HTMLParser):
             self._end_list_items()
             self.lists = max(0, self.lists - 1)
         if tag in MARKED or tag in LISTS:
-            i = next((i for i in range(len(self.marks) - 1, -1, -1) if self.marks[i][0] == tag), None)
-            if i is not None:
-                self._end_mark(i)
+            mark = self.marks.last(tag)
+            if mark is not None:
+                self._end_mark(mark)
         if tag in BLOCKS:
-            i = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"] == tag), None)
-            if i is not None:
-                self._end_block(i)
-
-    def _close(self, block: dict, outer: dict | None):
-        seeds = [s for s in block["seeds"] if any(t in s[0].lower() for t in K.ROLE_TERMS)]
-        if seeds and self.solid - block["solid"] <= LONGEST:
-            text = " ".join(" ".join(self.words[block["begin"] :]).split())
-            low = text.lower()
-            if SHORTEST <= len(text) <= LONGEST and any(t in low for t in K.ROLE_TERMS):
-                href = next((h for _, h in block["seeds"] if h), "")
-                self.blocks.append({"title": seeds[0][0], "href": href, "text": text, "links": [{"text": t, "href": h} for t, h in block["seeds"] if h]})  # the nearest container takes the seeds
-                return
-        if outer is not None:
-            outer["seeds"] += block["seeds"]
+            block = self.open.last(tag)
+            if block is not None:
+                self._end_block(block)
+
+    def _close(self, block: dict) -> bool:
+        """Whether the block is the nearest container of its seeds. One around a
+        block found before is no block of its own: the smaller one stays."""
+        words = len(self.words) - block["begin"]
+        if block["role"] is None or not SHORTEST <= self.solid - block["solid"] + words - 1 <= LONGEST:
+            return False
+        text = " ".join(self.words[block["begin"] :])
+        low = text.lower()
+        if not any(t in low for t in K.ROLE_TERMS):
+            return False
+        if not block["holds"]:
+            self.blocks.append({"title": block["role"], "href": block["href"], "text": text, "links": [{"text": t, "href": h} for t, h in block["seeds"] if h]})
+        return True
 
     def handle_data(self, data):
         if self.in_ld:
@@ -145,8 +207,9 @@ class _Page(HTMLParser):
         if self.in_title:
             self.title.append(data)
             return
-        self.words.append(data)
-        self.solid += len(data) - sum(map(data.count, " \n\t\r\f"))
+        words = data.split()
+        self.words += words
+        self.solid += sum(map(len, words))
 
 
 def parse_page(html: str | None, url: str | None = None) -> dict:
@@ -154,8 +217,7 @@ def parse_page(html: str | None, url: str | None = None) -> dict:
     page = _Page(url or "")
     page.feed(html or "")
     page.close()
-    squash = lambda parts: " ".join(" ".join(parts).split())
-    return {"title": squash(page.title), "text": squash(page.words), "json_ld": page.ld, "headings": page.headings, "anchors": page.anchors, "items": page.items, "postings": ld_postings(page.ld, url or ""), "blocks": page.blocks}
+    return {"title": _squash(page.title), "text": " ".join(page.words), "json_ld": page.ld, "headings": page.headings, "anchors": page.anchors, "items": page.items, "postings": ld_postings(page.ld, url or ""), "blocks": page.blocks}
 
 
 def page_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
