@@ -92,6 +92,16 @@ class Spark:
     def sort(self, a: str) -> str:
         return f"array_sort({a})"
 
+    def sort_down(self, a: str) -> str:
+        return f"sort_array({a}, false)"
+
+    def struct(self, **fields: str) -> str:
+        return f"named_struct({', '.join(f'{self.lit(n)}, {e}' for n, e in fields.items())})"
+
+    def whole(self, x: str) -> str:
+        """A number as text without places, halves to even."""
+        return f"cast(cast(bround({x}, 0) as bigint) as string)"
+
 
 class Duck(Spark):
     name = "duck"
@@ -175,5 +185,14 @@ class Duck(Spark):
     def sort(self, a: str) -> str:
         return f"list_sort({a})"
 
+    def sort_down(self, a: str) -> str:
+        return f"list_sort({a}, 'DESC')"
+
+    def struct(self, **fields: str) -> str:
+        return f"struct_pack({', '.join(f'{n} := {e}' for n, e in fields.items())})"
+
+    def whole(self, x: str) -> str:
+        return f"round_even({x}, 0)::bigint::varchar"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -174,19 +174,23 @@ def undergrad_friendly(d) -> str:
     return "case when has_bachelors and not requires_phd then true when requires_phd or (requires_masters and not has_bachelors) then false end"
 
 
-def graduation_years(d, s: str) -> str:
-    """ELG-02: sorted distinct years of sentences with a graduation cue."""
+def years_of_sentence(d) -> str:
+    """Years of graduation that one sentence ``s`` names, if it has a graduation cue."""
     num = lambda x: f"try_cast({x} as int)"
     a, b = num(d.extract("s", K.GRADUATION_RANGE, 2)), num(d.extract("s", K.GRADUATION_RANGE, 4))
     one, first, second = d.extract("s", K.CLASS_OF), d.extract("s", K.YEAR_LIST, 1), d.extract("s", K.YEAR_LIST, 2)
     near = d.extract("s", K.GRADUATING_IN)
     listed = f"case when {first} <> '' then {d.array([num(first), num(second)])} else {d.filter(d.transform(d.extract_all('s', K.YEAR), 'y', 'try_cast(y as int)'), 'y', 'y between 2020 and 2035')} end"
     own = f"case when {near} <> '' then {d.array([num(near)])} else {d.ints()} end"
-    each = (
+    return (
         f"case when not ({d.match('s', K.GRADUATION_CUE)}) then {d.ints()} when {b} - {a} between 0 and 4 then {d.range(a, b)} "
         f"when {one} <> '' then {d.array([num(one)])} else {d.concat_lists(f'({own})', f'({listed})')} end"
     )
-    return d.distinct_sorted(d.flatten(d.transform(s, "s", each)))
+
+
+def graduation_years(d, s: str) -> str:
+    """ELG-02: sorted distinct years of sentences with a graduation cue."""
+    return d.distinct_sorted(d.flatten(d.transform(s, "s", years_of_sentence(d))))
 
 
 def labels(d, s: str, table: dict) -> str:

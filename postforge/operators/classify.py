@@ -33,10 +33,11 @@ _FAMILY = """aggregate(f.kws,
   (a, k) -> case
     when contains({title}, k.kw) and not exists(a.t, m -> contains(m, k.kw)) then named_struct(
       'score', a.score + if(k.strong, 5, 3) + if(k.strong and {title} = k.kw, 2, 0), 'hits', a.hits + 1, 'strong', a.strong or k.strong, 'titled', true,
-      't', array_append(a.t, k.kw), 'b', a.b, 'ev', array_append(a.ev, concat('title: ', k.kw)))
+      't', array_append(a.t, k.kw), 'b', a.b, 'ev', array_compact(concat(a.ev, array(concat('title matched ', if(k.strong, 'strong', 'medium'), ' keyword "', k.kw, '"'),
+        if(k.strong and {title} = k.kw, concat('title exactly matched role keyword "', k.kw, '"'), null)))))
     when contains({body}, k.kw) and not exists(a.b, m -> contains(m, k.kw)) then named_struct(
       'score', a.score + if(k.strong, 2, 1), 'hits', a.hits + 1, 'strong', a.strong, 'titled', a.titled,
-      't', a.t, 'b', array_append(a.b, k.kw), 'ev', array_append(a.ev, concat('description: ', k.kw)))
+      't', a.t, 'b', array_append(a.b, k.kw), 'ev', array_append(a.ev, concat('description matched ', if(k.strong, 'strong', 'medium'), ' keyword "', k.kw, '"')))
     else a end)"""
 
 
@@ -47,11 +48,13 @@ def classify(df, title: str = "title_f", body: str = "body_f", department: str =
     an array of folded strings or None. Runs as one projection, no shuffle.
     """
     d = SPARK
-    negatives = "(" + " + ".join(f"if(contains({title}, {d.lit(k)}) or contains({body}, {d.lit(k)}) or contains({department}, {d.lit(k)}), 1, 0)" for k in K.ROLE_NEGATIVES) + ")"
-    cats = f"size(filter(f.cats, c -> exists({categories}, x -> contains(x, c))))" if categories else "0"
-    scored = f"""transform(__families, f -> named_struct('m', {_FAMILY.format(title=title, body=body)}, 'cat', {cats}, 'neg', if(f.exempt, 0, __negatives), 'family', f.family, 'pref', f.pref))"""
-    ranked = """array_sort(transform(__scored, s -> named_struct('score', -(s.m.score + s.cat - 3 * s.neg), 'strong', if(s.m.strong, 0, 1), 'titled', if(s.m.titled, 0, 1), 'pref', -s.pref,
-      'family', s.family, 'hits', s.m.hits + s.cat, 'seen', s.m.hits + s.cat + s.neg > 0, 'context', s.cat > 0, 'ev', s.m.ev)))"""
+    negatives = d.compact(d.array(f"if(contains({title}, {d.lit(k)}) or contains({body}, {d.lit(k)}) or contains({department}, {d.lit(k)}), {d.lit(k)}, null)" for k in K.ROLE_NEGATIVES))
+    none = "cast(array() as array<string>)"
+    cats = f"filter(f.cats, c -> exists({categories}, x -> contains(x, c)))" if categories else none
+    scored = f"""transform(__families, f -> named_struct('m', {_FAMILY.format(title=title, body=body)}, 'cats', {cats}, 'negs', if(f.exempt, {none}, __negatives), 'family', f.family, 'pref', f.pref))"""
+    context = """concat(transform(s.cats, c -> concat('company category matched keyword "', c, '"')), transform(s.negs, n -> concat('negative keyword "', n, '" lowered score for ', s.family)))"""
+    ranked = f"""array_sort(transform(__scored, s -> named_struct('score', -(s.m.score + size(s.cats) - 3 * size(s.negs)), 'strong', if(s.m.strong, 0, 1), 'titled', if(s.m.titled, 0, 1), 'pref', -s.pref,
+      'family', s.family, 'hits', s.m.hits + size(s.cats), 'seen', s.m.hits + size(s.cats) + size(s.negs) > 0, 'context', size(s.cats) > 0, 'ev', concat(s.m.ev, {context}))))"""
     out = df.withColumn("__families", _literal(families)).withColumn("__negatives", F.expr(negatives)).withColumn("__scored", F.expr(scored)).withColumn("__ranked", F.expr(ranked))
     top, low = "get(__ranked, 0)", "coalesce(-get(__ranked, 1).score, 0)"
     score = f"(-{top}.score)"
@@ -102,3 +105,20 @@ def oracle_layers(d, title: str, body: str, department: str, categories: str | N
     last.append({"capped_": "case when sc_ < 5 then least(conf_, 0.45::double) when sc_ < 8 then least(conf_, 0.65::double) else conf_ end"})
     last.append({"role_family": f"case when weak_ then case when {top('seen')} then 'other' else 'unknown' end else {top('family')} end", "role_confidence": f"(case when weak_ then case when {top('seen')} then 0.15 else 0.0 end else floor(capped_ * 1000 + 0.5) / 1000 end)::double", "role_score": "sc_::bigint", "role_margin": "(sc_ - lo_)::bigint"})
     return [titles, *[b for b in bodies if b], scores, *last]
+
+
+def oracle_evidence(d, title: str, body: str, department: str, categories: str) -> str:
+    """The evidence of the top family for DuckDB, over the columns of :func:`oracle_layers`."""
+    negatives = [f"case when contains({title}, {d.lit(k)}) or contains({body}, {d.lit(k)}) or contains({department}, {d.lit(k)}) then {d.lit(k)} end" for k in K.ROLE_NEGATIVES]
+    whens = []
+    for n, (family, words, cats, exempt, _) in enumerate(family_table()):
+        said = []
+        for i, (kw, strong) in enumerate(words):
+            kind = "strong" if strong else "medium"
+            said.append(f"case when t{n}_{i} then {d.lit(f'title matched {kind} keyword {chr(34)}{kw}{chr(34)}')} when b{n}_{i} then {d.lit(f'description matched {kind} keyword {chr(34)}{kw}{chr(34)}')} end")
+            if strong:
+                said.append(f"case when t{n}_{i} and {title} = {d.lit(kw)} then {d.lit(f'title exactly matched role keyword {chr(34)}{kw}{chr(34)}')} end")
+        said += [f"case when len(list_filter({categories}, lambda x: contains(x, {d.lit(c)}))) > 0 then {d.lit(f'company category matched keyword {chr(34)}{c}{chr(34)}')} end" for c in cats]
+        said += [] if exempt else [f"'negative keyword \"' || ({x}) || {d.lit(f'{chr(34)} lowered score for {family}')}" for x in negatives]
+        whens.append(f"when {d.lit(family)} then {d.compact(d.array(said))}")
+    return f"case struct_extract(top_, 'family') {' '.join(whens)} end"
