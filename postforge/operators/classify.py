@@ -20,10 +20,11 @@ def family_table(families=None) -> list[tuple[str, list[tuple[str, bool]], tuple
 
 
 def _literal(families) -> F.Column:
-    rows = []
+    rows, none = [], F.array().cast("array<string>")
     for name, words, cats, exempt, pref in family_table(families):
         kws = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(s).alias("strong")) for k, s in words])
-        rows.append(F.struct(F.lit(name).alias("family"), kws.alias("kws"), (F.array(*[F.lit(c) for c in cats]) if cats else F.array().cast("array<string>")).alias("cats"), F.lit(exempt).alias("exempt"), F.lit(pref).alias("pref")))
+        rows.append(F.struct(F.lit(name).alias("family"), kws.alias("kws"), (F.array(*[F.lit(c) for c in cats]) if cats else F.array().cast("array<string>")).alias("cats"),
+                             none.alias("deps"), none.alias("negs"), F.lit(exempt).alias("exempt"), F.lit(pref).alias("pref"), F.lit(None).cast("string").alias("subtype")))
     return F.array(*rows)
 
 
@@ -41,24 +42,27 @@ _FAMILY = """aggregate(f.kws,
     else a end)"""
 
 
-def classify(df, title: str = "title_f", body: str = "body_f", department: str = "department_f", categories: str | None = None, families=None):
-    """CLS-01..04: adds role_family, role_confidence, role_score, role_margin, role_evidence.
+def classify(df, title: str = "title_f", body: str = "body_f", department: str = "department_f", categories: str | None = None, families=None, matched: str | None = None):
+    """CLS-01..04: adds role_family, role_confidence, role_score, role_margin, role_evidence, role_subtype.
 
     ``title``, ``body`` and ``department`` are folded columns, ``categories``
     an array of folded strings or None. Runs as one projection, no shuffle.
+    Families are literals of the plan, or ``matched`` names a column of those
+    that may count for the row (see ``operators.keywords``).
     """
     d = SPARK
     negatives = d.compact(d.array(f"if(contains({title}, {d.lit(k)}) or contains({body}, {d.lit(k)}) or contains({department}, {d.lit(k)}), {d.lit(k)}, null)" for k in K.ROLE_NEGATIVES))
-    none = "cast(array() as array<string>)"
+    none, anywhere = "cast(array() as array<string>)", f"c -> contains({title}, c) or contains({body}, c) or contains({department}, c)"
     cats = f"filter(f.cats, c -> exists({categories}, x -> contains(x, c)))" if categories else none
-    scored = f"""transform(__families, f -> named_struct('m', {_FAMILY.format(title=title, body=body)}, 'cats', {cats}, 'negs', if(f.exempt, {none}, __negatives), 'family', f.family, 'pref', f.pref))"""
-    context = """concat(transform(s.cats, c -> concat('company category matched keyword "', c, '"')), transform(s.negs, n -> concat('negative keyword "', n, '" lowered score for ', s.family)))"""
-    ranked = f"""array_sort(transform(__scored, s -> named_struct('score', -(s.m.score + size(s.cats) - 3 * size(s.negs)), 'strong', if(s.m.strong, 0, 1), 'titled', if(s.m.titled, 0, 1), 'pref', -s.pref,
-      'family', s.family, 'hits', s.m.hits + size(s.cats), 'seen', s.m.hits + size(s.cats) + size(s.negs) > 0, 'context', size(s.cats) > 0, 'ev', concat(s.m.ev, {context}))))"""
-    out = df.withColumn("__families", _literal(families)).withColumn("__negatives", F.expr(negatives)).withColumn("__scored", F.expr(scored)).withColumn("__ranked", F.expr(ranked))
+    scored = f"""transform(__families, f -> named_struct('m', {_FAMILY.format(title=title, body=body)}, 'cats', {cats}, 'deps', filter(f.deps, c -> contains({department}, c)), 'negs', if(f.exempt, {none}, concat(__negatives, filter(f.negs, {anywhere}))), 'family', f.family, 'pref', f.pref, 'subtype', f.subtype))"""
+    context = """concat(transform(s.deps, c -> concat('department matched keyword "', c, '"')), transform(s.cats, c -> concat('company category matched keyword "', c, '"')), transform(s.negs, n -> concat('negative keyword "', n, '" lowered score for ', s.family)))"""
+    ranked = f"""array_sort(transform(__scored, s -> named_struct('score', -(s.m.score + 2 * size(s.deps) + size(s.cats) - 3 * size(s.negs)), 'strong', if(s.m.strong, 0, 1), 'titled', if(s.m.titled, 0, 1), 'pref', -s.pref,
+      'family', s.family, 'hits', s.m.hits + size(s.deps) + size(s.cats), 'seen', s.m.hits + size(s.deps) + size(s.cats) + size(s.negs) > 0, 'context', size(s.deps) + size(s.cats) > 0, 'ev', concat(s.m.ev, {context}), 'subtype', s.subtype)))"""
+    known, negatives = (F.col(f"{matched}.families"), f"{matched}.negatives") if matched else (_literal(families), negatives)
+    out = df.withColumn("__families", known).withColumn("__negatives", F.expr(negatives)).withColumn("__scored", F.expr(scored)).withColumn("__ranked", F.expr(ranked))
     top, low = "get(__ranked, 0)", "coalesce(-get(__ranked, 1).score, 0)"
-    score = f"(-{top}.score)"
-    weak = f"({score} < 3 or {top}.hits = 0)"
+    score = f"coalesce(-{top}.score, 0)"
+    weak = f"coalesce({score} < 3 or {top}.hits = 0, true)"  # without any family nothing is known
     conf = f"least(0.98D, least(0.55D, {score} / 20.0D) + least(0.2D, greatest({score} - {low}, 0) / 10.0D) + case when {top}.strong = 0 then 0.15D when {top}.titled = 0 then 0.08D else 0.0D end + if({top}.context, 0.05D, 0.0D))"
     capped = f"case when {score} < 5 then least({conf}, 0.45D) when {score} < 8 then least({conf}, 0.65D) else {conf} end"
     cols = {
@@ -67,6 +71,7 @@ def classify(df, title: str = "title_f", body: str = "body_f", department: str =
         "role_score": f"cast({score} as bigint)",
         "role_margin": f"cast({score} - {low} as bigint)",
         "role_evidence": f"case when not {weak} then slice({top}.ev, 1, 8) when {top}.seen then slice({top}.ev, 1, 2) else cast(array() as array<string>) end",
+        "role_subtype": f"case when not {weak} then {top}.subtype end",
     }
     return out.withColumns({k: F.expr(v) for k, v in cols.items()}).drop("__families", "__negatives", "__scored", "__ranked")
 
