@@ -1,9 +1,10 @@
 """The derived postings view and the scored jobs over it, in two dialects.
 
 ``part`` carries the view: each row becomes a posting whose title, text,
-place, firm, source and times follow its key by coprime moduli. All layers are
-narrow projections, so a scan of any size needs no shuffle until a query asks
-for one.
+place, firm, source and times follow its key by coprime moduli. The table of keys
+is small beside the work on them, so keys are dealt to all cores first. Rules of
+texts, and the role, are worked out once for each distinct text, all others row
+by row in narrow projections.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from postforge.dialect import DUCK, SPARK
 from postforge.functions import fixed as K
 from postforge.functions import rules as R
 from postforge.operators import classify
-from postforge.session import stored, table
+from postforge.session import once, stored, table, tasks
 
 AS_OF = "TIMESTAMP '2026-09-01 00:00:00'"
 
@@ -99,22 +100,36 @@ def score_layers(d) -> list[dict[str, str]]:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*[f"{e} as {n}" for n, e in postings_columns(SPARK).items()])
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(tasks(spark), "p_partkey")
+    return keys.selectExpr(*[f"{e} as {n}" for n, e in postings_columns(SPARK).items()])
 
 
-def normalized(raw: DataFrame) -> DataFrame:
-    for layer in layers(SPARK):
-        raw = raw.withColumns({n: F.expr(e) for n, e in layer.items()})
-    return raw
+#: What the rules of texts read, the columns they give, and those that the role rests on.
+TEXT_KEYS = ("title_raw", "description_raw")
+TEXT_COLUMNS = (
+    "title", "description", "title_f", "body_f", "snips", "season", "year", "season_confidence", "title_program", "description_program", "is_internship",
+    "has_bachelors", "has_masters", "has_phd", "requires_masters", "requires_phd", "graduation_years", "class_years", "majors", "early_years", "sponsorship", "citizenship", "gpa", "undergrad_friendly", "eligibility_confidence",
+)
+ROLE_KEYS = ("title_f", "body_f", "department_f", "categories_f")
 
 
-def scored(df: DataFrame) -> DataFrame:
-    df = classify.classify(df, categories="categories_f")
-    for layer in score_layers(SPARK):
+def layered(df: DataFrame, parts: list[dict[str, str]]) -> DataFrame:
+    for layer in parts:
         df = df.withColumns({n: F.expr(e) for n, e in layer.items()})
     return df
 
 
+def normalized(raw: DataFrame) -> DataFrame:
+    of_text = [{n: e for n, e in layer.items() if n in TEXT_COLUMNS} for layer in layers(SPARK)]
+    of_row = [{n: e for n, e in layer.items() if n not in TEXT_COLUMNS} for layer in layers(SPARK)]
+    raw = once(raw, list(TEXT_KEYS), lambda texts: layered(texts, [x for x in of_text if x]))
+    return layered(raw, [x for x in of_row if x])
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return layered(once(df, list(ROLE_KEYS), lambda rows: classify.classify(rows, categories="categories_f")), score_layers(SPARK))
+
+
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised postings, stored once per session."""
     return stored(spark, f"silver {sf_dir}", lambda: normalized(postings(spark, sf_dir)))

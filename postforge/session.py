@@ -6,8 +6,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that row work is dealt to where little input makes much work."""
+    return max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+
+
+#: Distinct keys whose derived columns a broadcast may hold.
+ONCE_ROWS = 20_000
+
+
+def once(df: DataFrame, keys: list[str], derive: Callable[[DataFrame], DataFrame], most: int = ONCE_ROWS) -> DataFrame:
+    """``df`` with the columns that ``derive`` adds to ``keys``, worked out once
+    for each distinct value of the keys (nulls are values) and dealt to all
+    cores. Few values, as counted, are broadcast; more are joined by a shuffle.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/once-{uuid.uuid4().hex}"
+    derive(df.select(*keys).distinct().repartition(tasks(spark), *keys)).write.parquet(path)
+    found = spark.read.parquet(path)
+    few = found.count() <= most
+    found = found.withColumnsRenamed({k: f"__once_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__once_{k}")) for k in keys])
+    return df.join(F.broadcast(found) if few else found, same).drop(*[f"__once_{k}" for k in keys])
+
+
 _STORED: dict[tuple[str, str], str] = {}
 
 
