@@ -55,7 +55,7 @@ BLOCK_RATIO = 16
 #: Nodes of the refining map, and the decisions that its start counts for.
 NODES, MAP_PRIOR = 24, 12.0
 #: Places coded at a time.
-CHUNK = 1 << 13
+CHUNK = 1 << 15
 FOLDS = 5
 #: A word with more than 1/COMMON of all training tokens is common.
 COMMON = 1 << 22
@@ -63,6 +63,8 @@ COMMON = 1 << 22
 CACHE = 400_000
 #: Bytes and texts that are taken up at once, but for longer texts.
 GROUP_BYTES, GROUP_TEXTS = 1 << 20, 1024
+#: The same of texts scored in lock-step, where a step costs the same for few places.
+SCORED_BYTES, SCORED_TEXTS = 1 << 22, 2048
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint32(0xC2B2AE35)
 
@@ -167,15 +169,15 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(column, b"").view(pa.string()))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], n_bytes: int = GROUP_BYTES, n_texts: int = GROUP_TEXTS) -> Iterator[pa.RecordBatch]:
     """Rows (id, lowered text) in groups of bounded size."""
     for batch in batches:
         low = pa.RecordBatch.from_arrays([batch.column(0), _lowered(batch.column(1))], names=["id", "text"])
         size = np.cumsum(pc.binary_length(low.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < low.num_rows:
-            most = (size[a - 1] if a else 0) + GROUP_BYTES
-            b = min(max(a + 1, int(np.searchsorted(size, most))), a + GROUP_TEXTS, low.num_rows)
+            most = (size[a - 1] if a else 0) + n_bytes
+            b = min(max(a + 1, int(np.searchsorted(size, most))), a + n_texts, low.num_rows)
             yield low.slice(a, b - a)
             a = b
 
@@ -421,10 +423,10 @@ def log10_probabilities(model: Model, texts: list[bytes], ends: bool = True) ->
             x, pick = [codes.odds.take(path)], owner * gates
             for table, order in zip(model.tables, ORDERS, strict=True):
                 high, check = hashed(last >> np.uint64(64 - 8 * order))
-                held = table.take(slots(np.repeat(high, n), marks, model.bits))
+                held = table.take(slots(np.repeat(high, n), marks, model.bits).astype(np.int64))
+                held ^= np.repeat(check.astype(np.uint16) << np.uint16(8), n)  # no check byte is left where it is the same
                 odds = held.astype(np.int8)
-                held >>= np.uint16(8)
-                odds *= held == np.repeat(check, n)
+                odds *= held < np.uint16(256)
                 pick += odds != 0  # a longer context is hardly ever seen without the shorter ones
                 x.append(odds * f4(1 / STEP))
             z = x[0] * weights[0].take(pick)
@@ -509,7 +511,7 @@ def _score(shared_model, shared_words):
         model: Model = shared_model.value
         common, value = (np.frombuffer(x, k) for x, k in zip(shared_words.value, ("<u8", "<f8"), strict=True))
         by_length = (b.take(pc.sort_indices(pc.fill_null(pc.binary_length(b.column(1)), 0))) for b in batches)
-        for part in _groups(by_length):
+        for part in _groups(by_length, SCORED_BYTES, SCORED_TEXTS):
             ids, texts = part.column(0).cast(pa.int64()), _bytes_of(part.column(1))
             x = pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64))
             row, words = _words(part.column(1))
