@@ -2,8 +2,8 @@
 
 The rules of ``functions.rules`` say that a sentence matched; these say which.
 All are column expressions in either dialect, added layer by layer to scored
-postings, so they cost no shuffle and are worked out only for the rows that are
-asked for (after the limit of a queue, say).
+postings, so they are worked out only for the rows that are asked for (after the
+limit of a queue, say); for all postings, sentences once for each distinct text.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from postforge.dialect import SPARK
 from postforge.functions import fixed as K
 from postforge.functions import rules as R
+from postforge.session import once
 
 #: Most entries of a score's explanation and of the evidence shown with a review item.
 EXPLAINED, SHOWN = 10, 6
 
+#: What the sentences behind eligibility follow from.
+ELIGIBILITY_KEYS = ("snips", "sponsorship", "citizenship")
+
 # The wording of explanations.
 NO_TIER = "No prestige tier was configured, so a neutral prestige score was used."
 FAMILY_SAYS = (
@@ -123,8 +127,18 @@ def layers(d, preset: str = K.DEFAULT_PRESET) -> list[dict[str, str]]:
     ]
 
 
-def with_evidence(jobs: DataFrame, preset: str = K.DEFAULT_PRESET) -> DataFrame:
-    """ELG-10, SCO-11, ARR-06 for scored postings."""
-    for layer in layers(SPARK, preset):
-        jobs = jobs.withColumns({n: F.expr(e) for n, e in layer.items()})
-    return jobs.drop("eligibility_all", "explanation_all", "evidence_all")
+def with_evidence(jobs: DataFrame, preset: str = K.DEFAULT_PRESET, every: bool = False) -> DataFrame:
+    """ELG-10, SCO-11, ARR-06 for scored postings. Where ``every`` posting is
+    asked for, not a page, sentences are looked up once for each distinct text."""
+    parts, own = layers(SPARK, preset), ("eligibility_all", "eligibility_evidence")
+    if every:
+        of_text = [{n: e for n, e in layer.items() if n in own} for layer in parts]
+        parts = [{n: e for n, e in layer.items() if n not in own} for layer in parts]
+        jobs = once(jobs, list(ELIGIBILITY_KEYS), lambda texts: _layered(texts, of_text).drop("eligibility_all"))
+    return _layered(jobs, parts).drop("eligibility_all", "explanation_all", "evidence_all")
+
+
+def _layered(df: DataFrame, parts: list[dict[str, str]]) -> DataFrame:
+    for layer in filter(None, parts):
+        df = df.withColumns({n: F.expr(e) for n, e in layer.items()})
+    return df

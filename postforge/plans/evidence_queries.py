@@ -17,7 +17,7 @@ def _shown(d) -> str:
 
 
 def all_evidence(spark, sf_dir):
-    return evidence.with_evidence(postings.jobs(spark, sf_dir)).selectExpr("ingest_seq", *[f"{SPARK.join(c, ' | ')} as {c}" for c in LISTS])
+    return evidence.with_evidence(postings.jobs(spark, sf_dir), every=True).selectExpr("ingest_seq", *[f"{SPARK.join(c, ' | ')} as {c}" for c in LISTS])
 
 
 def review_items(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from postforge.plans import postings
+from postforge.functions import fixed as K
+from postforge.operators import evidence
+from postforge.plans import evidence_queries, postings
 from postforge.session import once, tasks
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,11 @@ def test_layers_are_all_there(spark):
     assert named <= set(silver.columns) and set(postings.TEXT_COLUMNS) <= named
     assert silver.count() == spark.read.parquet(f"{SF}/part.parquet").count()
     assert tasks(spark) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_sentences_are_looked_up_once_for_each_text(spark):
+    jobs = postings.jobs(spark, SF)
+    plan = evidence_queries.all_evidence(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "eligibility_evidence" in plan and not any(p in plan for p in K.MAJORS.values())
+    one, all_ = (evidence.with_evidence(jobs, every=every).select("ingest_seq", *evidence_queries.LISTS) for every in (False, True))
+    assert one.count() == all_.count() == jobs.count() and one.exceptAll(all_).isEmpty()
