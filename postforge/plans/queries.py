@@ -13,7 +13,7 @@ from postforge.functions import fixed as K
 from postforge.functions import rules as R
 from postforge.operators import discovery, resolve, runs, state
 from postforge.plans import catalog, postings, serve
-from postforge.session import checkpoint_dir, table
+from postforge.session import checkpoint_dir, cut, table
 
 jobs, jobs_sql, normalized_sql = postings.jobs, postings.jobs_sql, postings.normalized_sql
 
@@ -261,7 +261,7 @@ catalog.register("q_resolved_order", lambda s, d: resolve.resolved_order(_norm(s
 
 
 def cluster_reasons(spark, sf_dir):
-    links = resolve.exact_links(_norm(spark, sf_dir))
+    links = cut(resolve.exact_links(_norm(spark, sf_dir)))  # read for the clusters, then for their reasons
     return resolve.reasons(links, resolve.clusters(links)).withColumn("reasons", F.array_join("reasons", "; "))
 
 

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from postforge.functions import fixed as K
-from postforge.operators import evidence
-from postforge.plans import evidence_queries, postings
+from postforge.operators import evidence, resolve
+from postforge.plans import evidence_queries, postings, queries
 from postforge.session import once, tasks
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,12 @@ def test_sentences_are_looked_up_once_for_each_text(spark):
     assert "eligibility_evidence" in plan and not any(p in plan for p in K.MAJORS.values())
     one, all_ = (evidence.with_evidence(jobs, every=every).select("ingest_seq", *evidence_queries.LISTS) for every in (False, True))
     assert one.count() == all_.count() == jobs.count() and one.exceptAll(all_).isEmpty()
+
+
+def test_links_of_cluster_reasons_are_made_once(spark, monkeypatch):
+    seen = []
+    clusters = resolve.clusters
+    monkeypatch.setattr(resolve, "clusters", lambda links: seen.append(links) or clusters(links))
+    queries.cluster_reasons(spark, SF)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
