@@ -21,6 +21,8 @@ EXPLAINED, SHOWN = 10, 6
 
 #: What the sentences behind eligibility follow from.
 ELIGIBILITY_KEYS = ("snips", "sponsorship", "citizenship")
+#: Columns of scored postings that evidence is made of.
+READS = ("title_f", "body_f", "snips", "source_type", "status", "sponsorship", "citizenship", "role_family", "role_evidence", "tier", "age_days", "prestige", *(c for c in K.PRESETS[K.DEFAULT_PRESET] if c != "prestige"))
 
 # The wording of explanations.
 NO_TIER = "No prestige tier was configured, so a neutral prestige score was used."

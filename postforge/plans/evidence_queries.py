@@ -8,6 +8,7 @@ from postforge.dialect import DUCK, SPARK
 from postforge.functions import fixed as K
 from postforge.operators import classify, evidence
 from postforge.plans import catalog, postings, serve
+from postforge.session import cut
 
 LISTS = ("role_evidence", "status_evidence", "eligibility_evidence", "explanation", "evidence")
 
@@ -22,7 +23,8 @@ def all_evidence(spark, sf_dir):
 
 def review_items(spark, sf_dir):
     """REV-02: the queue with its evidence, which only the rows of the queue need."""
-    queue = serve.review_queue(postings.jobs(spark, sf_dir))
+    queue = serve.review_queue(postings.jobs(spark, sf_dir)).select("ingest_seq", "reasons", *evidence.READS)
+    queue = cut(queue)  # else Spark moves evidence under the limit, and sorts all rows for it
     return evidence.with_evidence(queue).selectExpr("ingest_seq", f"{SPARK.join('reasons', ' | ')} as reasons", *[f"{SPARK.join(c, ' | ')} as {c}" for c in LISTS])
 
 

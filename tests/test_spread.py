@@ -54,3 +54,8 @@ def test_links_of_cluster_reasons_are_made_once(spark, monkeypatch):
     queries.cluster_reasons(spark, SF)
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_queue_with_evidence_sorts_no_table(spark):
+    plan = evidence_queries.review_items(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "parquet" not in plan
