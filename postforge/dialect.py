@@ -62,8 +62,9 @@ class Spark:
         return f"array_distinct({a})"
 
     def fold_distinct(self, a: str) -> str:
-        """First spelling of each case-folded value, in order."""
-        return f"filter({a}, (x, i) -> array_position(transform({a}, y -> lower(y)), lower(x)) = i + 1)"
+        """First spelling of each case-folded value, in order; the array and its folded values are worked out once."""
+        kept = "filter(a, (x, i) -> array_position(f, get(f, i)) = i + 1)"
+        return f"get(transform(array({a}), a -> get(transform(array(transform(a, y -> lower(y))), f -> {kept}), 0)), 0)"
 
     def sentences(self, x: str) -> str:
         return f"filter(split({x}, {self.lit('(?<=[.!?;])' + chr(92) + 's+')}), s -> s <> '')"

@@ -61,7 +61,10 @@ def url_forms(d, to: str) -> dict[str, str]:
     dropped = ", ".join(d.lit(k) for k in K.TRACKING_KEYS)
     pairs = d.filter(d.split(f"{to}_query", "&"), "p", f"p <> '' and lower({d.replace('p', '=.*$', '')}) not in ({dropped})")
     plain = d.transform(pairs, "p", "replace(case when contains(p, '=') then p else concat(p, '=') end, '%20', '+')")
-    return {f"{to}_proto": scheme, f"{to}_site": d.replace(f"({bare})", r"^www\.", ""), f"{to}_route": d.replace(d.replace(f"coalesce(nullif({to}_path, ''), '/')", "/{2,}", "/"), "(.)/$", "$1" if d.name == "spark" else "\\1"), f"{to}_args": d.join(d.sort(plain), "&")}
+    args = d.join(d.sort(plain), "&")
+    if d.name == "spark":  # most URLs have no query
+        args = f"case when {to}_query = '' then '' else {args} end"
+    return {f"{to}_proto": scheme, f"{to}_site": d.replace(f"({bare})", r"^www\.", ""), f"{to}_route": d.replace(d.replace(f"coalesce(nullif({to}_path, ''), '/')", "/{2,}", "/"), "(.)/$", "$1" if d.name == "spark" else "\\1"), f"{to}_args": args}
 
 
 def url_whole(d, x: str, to: str) -> str:
@@ -124,16 +127,24 @@ def remote_type(d, location: str, description: str) -> str:
     return "case " + " ".join(f"when contains({both}, {d.lit(a)}) then {d.lit(b)}" for a, b in K.REMOTE_TERMS.items()) + " end"
 
 
-def locations(d, location: str, remote: str) -> str:
-    """STR-18: list of places."""
+def places(d, location: str) -> str:
+    """STR-18: list of places that the text names."""
     bare = d.replace(location, r"(?i)^\s*(remote|hybrid|onsite|on-site|on site)\s*[-:]\s*", "")
     base = f"case when trim({bare}) = '' then trim({location}) else trim({bare}) end"
     parts = d.filter(d.transform(d.split(f"({base})", r"\s*(?:/|;|\|)\s*"), "p", d.replace("p", r"^[ ,]+|[ ,]+$", "")), "p", "p <> ''")
     title = "case lower(p) " + " ".join(f"when {d.lit(t)} then {d.lit('Remote' if m == 'remote' else t.title())}" for t, m in K.REMOTE_TERMS.items()) + " else p end"
-    found = d.fold_distinct(d.transform(parts, "p", title))
+    return d.fold_distinct(d.transform(parts, "p", title))
+
+
+def with_remote(d, found: str, remote: str) -> str:
     return f"case when {remote} = 'remote' and {d.size(found)} = 0 then {d.array(['' + d.lit('Remote')])} else {found} end"
 
 
+def locations(d, location: str, remote: str) -> str:
+    """STR-18: list of places; of a remote posting that names none, Remote."""
+    return with_remote(d, places(d, location), remote)
+
+
 def program_type(d, title: str, description: str) -> dict[str, str]:
     """STR-20: program type and confidence."""
     t = "case " + " ".join(f"when {d.match(title, p)} then {d.lit(k)}" for k, p in K.TITLE_INTERNSHIP) + " end"

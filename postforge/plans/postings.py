@@ -45,6 +45,8 @@ CATEGORIES = ("trading_systems", "quant_developer", "market_data", "fpga", "prop
 
 def pick(d, key: str, values) -> str:
     n = len(values)
+    if d.name == "spark":  # one lookup; a chain of conditions makes methods too long for Java to compile
+        return f"get({d.array(d.lit(v) for v in values)}, cast({key} % {n} as int))"
     return f"case {key} % {n} " + " ".join(f"when {i} then {d.lit(v)}" for i, v in enumerate(values)) + " end"
 
 
@@ -123,11 +125,20 @@ def normalized(raw: DataFrame) -> DataFrame:
     of_text = [{n: e for n, e in layer.items() if n in TEXT_COLUMNS} for layer in layers(SPARK)]
     of_row = [{n: e for n, e in layer.items() if n not in TEXT_COLUMNS} for layer in layers(SPARK)]
     raw = once(raw, list(TEXT_KEYS), lambda texts: layered(texts, [x for x in of_text if x]))
-    return layered(raw, [x for x in of_row if x])
+    raw = once(raw, ["location_raw"], lambda rows: layered(rows, [{"location": of_row[0].pop("location")}, {"places": R.places(SPARK, "location")}]))
+    of_row[-1]["locations"] = R.with_remote(SPARK, "places", "remote_type")
+    return layered(raw, [x for x in of_row if x]).drop("places")
+
+
+#: Scores that follow from the texts and the role alone.
+ROLE_SCORES = ("technical_depth", "role_fit")
 
 
 def scored(df: DataFrame) -> DataFrame:
-    return layered(once(df, list(ROLE_KEYS), lambda rows: classify.classify(rows, categories="categories_f")), score_layers(SPARK))
+    of_role = [{n: e for n, e in layer.items() if n in ROLE_SCORES} for layer in score_layers(SPARK)]
+    of_row = [{n: e for n, e in layer.items() if n not in ROLE_SCORES} for layer in score_layers(SPARK)]
+    df = once(df, list(ROLE_KEYS), lambda rows: layered(classify.classify(rows, categories="categories_f"), [x for x in of_role if x]))
+    return layered(df, of_row)
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:

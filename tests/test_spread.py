@@ -59,3 +59,25 @@ def test_links_of_cluster_reasons_are_made_once(spark, monkeypatch):
 def test_queue_with_evidence_sorts_no_table(spark):
     plan = evidence_queries.review_items(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "parquet" not in plan
+
+
+def test_places_and_role_scores_once_for_each_value(spark):
+    silver = postings.normalized(postings.postings(spark, SF))
+    gold = postings.scored(postings.silver(spark, SF))
+    for df, column, own, rule in ((silver, "locations", "remote_type", postings.R.locations(postings.SPARK, "location", "remote_type")), (gold, "technical_depth", "role_family", postings.R.technical_depth(postings.SPARK, "title_f", "body_f", "role_family"))):
+        plan = df.select(column)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan.split("Join")[0] and not any(f", {k})" in plan for k in K.STRONG_KEYWORDS)
+        assert df.select(column, own, F.expr(rule).alias("again")).where("not (again <=> " + column + ")").isEmpty()
+
+
+def test_first_spellings_fold_each_value_once(spark):
+    rule = postings.SPARK.fold_distinct("v")
+    assert rule.count("lower(") == 1
+    rows = [(["B", "b", "A", "a", "B"],), ([],), (None,), ([None, "x", "X"],)]
+    assert [r.f for r in spark.createDataFrame(rows, "v array<string>").select(F.expr(rule).alias("f")).collect()] == [["B", "A"], [], None, ["x"]]
+
+
+def test_picks_are_one_lookup(spark):
+    rule = postings.pick(postings.SPARK, "k", ("a", "b'", "c"))
+    assert "case" not in rule
+    assert [r.p for r in spark.createDataFrame([(0,), (4,), (5,), (-1,), (None,)], "k long").select(F.expr(rule).alias("p")).collect()] == ["a", "b'", "c", None, None]
