@@ -21,6 +21,8 @@ EXPLAINED, SHOWN = 10, 6
 
 #: What the sentences behind eligibility follow from.
 ELIGIBILITY_KEYS = ("snips", "sponsorship", "citizenship")
+#: What the reason of the technical depth follows from.
+DEPTH_KEYS = ("title_f", "body_f", "role_family")
 #: Columns of scored postings that evidence is made of.
 READS = ("title_f", "body_f", "snips", "source_type", "status", "sponsorship", "citizenship", "role_family", "role_evidence", "tier", "age_days", "prestige", *(c for c in K.PRESETS[K.DEFAULT_PRESET] if c != "prestige"))
 
@@ -93,9 +95,10 @@ def _depth(d, title: str = "title_f", body: str = "body_f") -> str:
     return f"case {' '.join(whens)} when role_family in ({families}) then concat({d.lit("role family '")}, role_family, {d.lit("' is strongly technical")}) else {d.lit(NOT_TECHNICAL)} end"
 
 
-def explanation(d, preset: str = K.DEFAULT_PRESET, tier_source: str = "case when tier = 'Unknown' then 'default' else 'pack defaults' end") -> str:
+def explanation(d, preset: str = K.DEFAULT_PRESET, tier_source: str = "case when tier = 'Unknown' then 'default' else 'pack defaults' end", depth: str | None = None) -> str:
     """SCO-11: the preset, its three weightiest components (of equal weight the
-    later name first), then what each score rests on first."""
+    later name first), then what each score rests on first. ``depth`` names a
+    column that holds the reason of the technical depth already."""
     preset = preset.lower() if preset.lower() in K.PRESETS else K.DEFAULT_PRESET
     now = preset == "apply_now"
     score = lambda k: "case when status = 'closed' then cast(0 as double) else freshness end" if now and k == "freshness" else k
@@ -109,7 +112,7 @@ def explanation(d, preset: str = K.DEFAULT_PRESET, tier_source: str = "case when
     firsts = [
         f"case when ({tier_source}) = 'default' then {d.lit(NO_TIER)} else concat('Prestige tier ', tier, ' came from ', {tier_source}, '.') end",
         f"case {family}",
-        _depth(d),
+        depth or _depth(d),
         f"case when status = 'closed' then {d.lit(CLOSED_NOW)} else {verified} end" if now else verified,
         d.lit(NO_CANDIDATE),
         "case " + " ".join(f"when prestige >= {least} then {d.lit(text)}" for least, text in PRESTIGE_SAYS) + f" else {d.lit(PRESTIGE_ELSE)} end",
@@ -117,12 +120,12 @@ def explanation(d, preset: str = K.DEFAULT_PRESET, tier_source: str = "case when
     return d.concat_lists(f"({d.array([d.lit(f'Opportunity score used the {preset} preset.')])})", f"({strongly})", f"({d.array(firsts)})")
 
 
-def layers(d, preset: str = K.DEFAULT_PRESET) -> list[dict[str, str]]:
+def layers(d, preset: str = K.DEFAULT_PRESET, depth: str | None = None) -> list[dict[str, str]]:
     """Columns status_evidence, eligibility_evidence, explanation and evidence
     over scored postings that hold role_evidence."""
     said = d.transform(d.concat_lists("role_evidence", "status_evidence", "eligibility_evidence", "explanation"), "x", "trim(x)")
     return [
-        {"status_evidence": status(d), "eligibility_all": eligibility(d), "explanation_all": explanation(d, preset)},
+        {"status_evidence": status(d), "eligibility_all": eligibility(d), "explanation_all": explanation(d, preset, depth=depth)},
         {"eligibility_evidence": d.distinct("eligibility_all"), "explanation": d.slice(d.fold_distinct("explanation_all"), EXPLAINED)},
         {"evidence_all": d.filter(said, "x", "x <> ''")},
         {"evidence": d.slice(d.distinct("evidence_all"), SHOWN)},
@@ -132,12 +135,24 @@ def layers(d, preset: str = K.DEFAULT_PRESET) -> list[dict[str, str]]:
 def with_evidence(jobs: DataFrame, preset: str = K.DEFAULT_PRESET, every: bool = False) -> DataFrame:
     """ELG-10, SCO-11, ARR-06 for scored postings. Where ``every`` posting is
     asked for, not a page, sentences are looked up once for each distinct text."""
-    parts, own = layers(SPARK, preset), ("eligibility_all", "eligibility_evidence")
+    parts, own = layers(SPARK, preset, "depth_said" if every else None), ("eligibility_all", "eligibility_evidence")
     if every:
         of_text = [{n: e for n, e in layer.items() if n in own} for layer in parts]
         parts = [{n: e for n, e in layer.items() if n not in own} for layer in parts]
         jobs = once(jobs, list(ELIGIBILITY_KEYS), lambda texts: _layered(texts, of_text).drop("eligibility_all"))
-    return _layered(jobs, parts).drop("eligibility_all", "explanation_all", "evidence_all")
+        jobs = _depth_said(jobs)
+    return _layered(jobs, parts).drop("eligibility_all", "explanation_all", "evidence_all", "depth_said")
+
+
+def with_explanation(jobs: DataFrame, preset: str = K.DEFAULT_PRESET) -> DataFrame:
+    """SCO-11 alone, for every posting: the reason of the technical depth is
+    looked up once for each distinct text."""
+    own = [{n: e for n, e in layer.items() if n in ("explanation_all", "explanation")} for layer in layers(SPARK, preset, "depth_said")]
+    return _layered(_depth_said(jobs), own).drop("explanation_all", "depth_said")
+
+
+def _depth_said(jobs: DataFrame) -> DataFrame:
+    return once(jobs, list(DEPTH_KEYS), lambda texts: texts.withColumn("depth_said", F.expr(_depth(SPARK))))
 
 
 def _layered(df: DataFrame, parts: list[dict[str, str]]) -> DataFrame:

@@ -29,7 +29,7 @@ def review_items(spark, sf_dir):
 
 
 def apply_now(spark, sf_dir):
-    found = evidence.with_evidence(postings.jobs(spark, sf_dir), "apply_now")
+    found = evidence.with_explanation(postings.jobs(spark, sf_dir), "apply_now")
     return found.select("ingest_seq", F.expr(SPARK.join("explanation", " | ")).alias("why"))
 
 

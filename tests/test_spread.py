@@ -61,6 +61,13 @@ def test_queue_with_evidence_sorts_no_table(spark):
     assert "rangepartitioning" not in plan and "parquet" not in plan
 
 
+def test_explanations_look_depth_up_once_for_each_text(spark):
+    jobs, shown = postings.jobs(spark, SF), ("ingest_seq", "explanation")
+    found = evidence.with_explanation(jobs, "apply_now").select(*shown)
+    assert evidence.NOT_TECHNICAL not in evidence_queries.apply_now(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == jobs.count() and found.exceptAll(evidence.with_evidence(jobs, "apply_now").select(*shown)).isEmpty()
+
+
 def test_places_and_role_scores_once_for_each_value(spark):
     silver = postings.normalized(postings.postings(spark, SF))
     gold = postings.scored(postings.silver(spark, SF))
